@@ -16,6 +16,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -188,7 +189,7 @@ def codec(definition: str) -> Codec:
 
 def pieces(batch: pa.RecordBatch, column: int, most: int = _PIECE) -> Iterator[pa.RecordBatch]:
     """The batch in stretches of about ``most`` bytes of that column, so that what is made of them stays small."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part, a = np.cumsum(size) // most, 0
     for b in [*(np.flatnonzero(np.diff(part)) + 1), len(batch)]:
         if b > a:
