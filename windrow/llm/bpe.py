@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 END = "</w>"
 _KEEP_WORDS = 300_000
@@ -34,6 +35,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: Below this code point every character was assigned long ago, so that all versions of Unicode agree on it.
+_SETTLED = "\u0530"
+
+
 def lowered(text: str) -> str:
     """NFC, then each code point's own lower case (str.lower would look at a sigma's neighbours)."""
     if not text.isascii():
@@ -76,6 +81,8 @@ class Codec:
         self.letters = byte_letters()
         self.letter_map = {b: c for b, c in enumerate(self.letters)}
         self.split = regex.compile(steps[0]["pattern"]["Regex"])
+        #: The library's own tables of characters, for stretches with a character that Python's may not know.
+        self.library = Tokenizer.from_str(definition)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -87,6 +94,13 @@ class Codec:
         self.pairs_known = np.empty(0, np.int64)
         self.pairs_good = np.empty(0, bool)
 
+    def pieces(self, stretch: str) -> list[str]:
+        """The words of a stretch without white space, in byte letters."""
+        if max(stretch) >= _SETTLED:
+            return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(stretch))]
+        words = self.split.findall(lowered(stretch))
+        return words if stretch.isascii() and stretch.isprintable() else [w.encode().decode("latin-1").translate(self.letter_map) for w in words]
+
     def inner(self, token: str) -> str:
         return token[: -len(END)] + self.mark if token.endswith(END) and token != END else token
 
@@ -133,9 +147,9 @@ class Codec:
         return self.merged([s for i in ids for s in self.symbols(self.inner(self.table[i]))]) == ids
 
     def learn(self, words: set[str]) -> None:
-        """Encode words (of the split text, not marked yet) into self.words."""
+        """Encode words (in byte letters, not marked yet) into self.words."""
         todo = list(words)
-        marked = [w.encode().decode("latin-1").translate(self.letter_map) + self.mark for w in todo]
+        marked = [w + self.mark for w in todo]
         found = np.fromiter((x for pair in self.matcher.iter_long("".join(marked)) for x in pair), np.int64).reshape(-1, 2)
         last = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked))) - 1
         ids, first = found[:, 1], np.concatenate(([0], np.searchsorted(found[:, 0], last, "right")))
@@ -159,16 +173,16 @@ class Codec:
             if t and self.cut and "<" in t:
                 at = 0
                 for m in self.cut.finditer(t):
-                    row += [split(lowered(t[at : m.start()])), self.special[m[0]]]
+                    row += [split(t[at : m.start()]), self.special[m[0]]]
                     at = m.end()
                 t = t[at:]
-            row.append(split(lowered(t)) if t else [])
+            row.append(split(t) if t else [])
             parts.append(row)
         seen = {w for row in parts for p in row if not isinstance(p, int) for w in p}
         if len(self.chunks) > _KEEP_CHUNKS:
             self.chunks.clear()
         if fresh := [w for w in seen if w not in self.chunks]:
-            cut = [self.split.findall(w) for w in fresh]
+            cut = [self.pieces(w) for w in fresh]
             if len(self.words) > _KEEP_WORDS:
                 self.words.clear()
             if unseen := {w for words in cut for w in words if w not in self.words}:
