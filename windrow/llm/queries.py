@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, minhash, quality, simhash
+from . import bpe, classifier, minhash, quality, secrets, simhash
 from .shared import table
 
 
@@ -23,6 +23,14 @@ def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("found", lambda x: x["base"])
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compared(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_classifier": op6_classifier,
+    "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
 }
