@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, minhash, mixing, quality, secrets, simhash
+from . import bpe, classifier, lines, minhash, mixing, quality, secrets, simhash
 from .shared import table
 
 
@@ -48,6 +48,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "__lines.n_lines", F.col("__lines.n_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -56,4 +61,5 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
