@@ -82,7 +82,9 @@ def _refill(form: Column, digits: Column) -> Column:
 
 
 def surrogate(kind: Column, e: Column, key: str, attempt: Column) -> Column:
-    h = _hash(F.lit(key), kind, F.lower(e), attempt.cast("string"))
+    # one number or address is one entity however it is written: digits count, or letters in either case
+    same = F.when(kind.isin("card", "phone"), F.regexp_replace(e, r"\D", "")).otherwise(F.lower(e))
+    h = _hash(F.lit(key), kind, same, attempt.cast("string"))
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     host, top = F.substring_index(domain, ".", 1), F.substring_index(domain, ".", -1)
     middle = domain.substr(F.length(host) + 1, F.length(domain) - F.length(host) - F.length(top))
