@@ -24,7 +24,7 @@ PATTERNS = {
     "email": rf"(?<![{_LETTER}])[{_LETTER}]++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "card": r"(?<![\p{L}\d.-])(?:\d{13,19}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}(?: \d{4}){3})(?![\p{L}\d]|[.-]\d)",
-    "phone": r"(?<![\p{L}\d.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?![\p{L}\d])|(?<![\p{L}\d])\+\d{8,15}(?!\d)",
+    "phone": r"(?<![\p{L}\d.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{2,4}[ .-]\d{2,4}(?:[ .-]\d{2,4})?(?![\p{L}\d]|\.\d)|(?<![\p{L}\d])\+\d{8,15}(?!\d)",
     "name": rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?",
 }
 # Given names and surnames by gender and script.
