@@ -1,6 +1,6 @@
 """Every query of the library, by name."""
 
-from . import basics, similarity
+from . import basics, prediction, similarity
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "similarity"]
+__all__ = ["ORACLES", "QUERIES", "basics", "prediction", "similarity"]
