@@ -1,6 +1,6 @@
 """Every query of the library, by name."""
 
-from . import basics, markets, prediction, similarity
+from . import basics, days, features, markets, prediction, similarity
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "markets", "prediction", "similarity"]
+__all__ = ["ORACLES", "QUERIES", "basics", "days", "features", "markets", "prediction", "similarity"]

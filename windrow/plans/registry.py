@@ -99,9 +99,9 @@ def with_views(sql: str) -> str:
                 if v not in need:
                     need.append(v)
 
-    own = re.match(r"\s*with\s+", sql, re.I)
+    own = re.match(r"\s*with\s+(recursive\s+)?", sql, re.I)
     add(sql)
     if not need:
         return sql
     head = ", ".join(f"{v} as ({VIEWS[v]})" for v in VIEWS if v in need)
-    return f"with {head}, {sql[own.end():]}" if own else f"with {head} {sql}"
+    return f"with {own[1] or '' if own else ''}{head}{',' if own else ''} {sql[own.end() if own else 0:]}"
