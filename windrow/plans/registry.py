@@ -103,5 +103,5 @@ def with_views(sql: str) -> str:
     add(sql)
     if not need:
         return sql
-    head = ", ".join(f"{v} as ({VIEWS[v]})" for v in VIEWS if v in need)
+    head = ", ".join(f"{v} as ({VIEWS[v]})" for v in need)
     return f"with {own[1] or '' if own else ''}{head}{',' if own else ''} {sql[own.end() if own else 0:]}"
