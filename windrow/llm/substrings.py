@@ -5,8 +5,9 @@ A window is ``WINDOW`` consecutive words.  Two passes find those whose words sta
 1.  Each window elects one of its ``GRAM``-word grams, that of the least hash, the last of equals.  Equal windows elect the
     same one, so only windows whose elected gram occurs at two places can repeat.  Elections are shared by neighbouring
     windows; about one word in fifteen is elected.
-2.  The windows that can repeat are hashed to 96 bits and written, per task and hash range, as sorted runs.  The runs of
-    a range are merge-joined; a hash in two runs, or twice in one, repeats.  What repeats within a run is found where the
+2.  The windows that can repeat are hashed to 96 bits and written, per task and range, as sorted runs.  The range is that of
+    the elected gram's hash, so that a passage's windows stay together; for grams that many windows elect it is that of the
+    window's own hash, which spreads them.  The runs of a range are merge-joined; a hash in two runs, or twice in one, repeats.  What repeats within a run is found where the
     run is made and enters the merge as one entry, so a passage in a third of all documents sends one entry a run.
 
 ``WindowIndex`` keeps such runs on disk: a new batch is merge-joined with them, verified, appended as one more run, and
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .shared import partitions, settled
-from .textblocks import BASES, U64, Block, blocks, grams, whole
+from .shared import lean, partitions, settled
+from .textblocks import BASES, U64, Block, blocks, grams, mix, whole
 
 WINDOW, GRAM = 35, 6
 #: A run is closed when it holds so many windows.
-RUN = 1 << 20
+RUN = 1 << 18
 _ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4"), ("at", "<u4")])
 _ALONE = np.uint32(2**32 - 1)
 
@@ -72,31 +73,31 @@ def _elections(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 keys = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[owner].astype(np.int64)), pa.array(h[one].view(np.int64))], ["key", "gram"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, gram long")
+    return lean(docs.select("key", "text")).mapInArrow(run, "key long, gram long")
 
 
-def _runs(held: DataFrame, n: int, window: int, gram: int) -> DataFrame:
-    """(range, key array, count array, entries, own): a task's windows that can repeat, as a run per hash range.
-
-    entries: by document, sorted by hash within; own: places of windows that repeat within the run, found at once."""
+def _runs(held: DataFrame, n: int, hot: np.ndarray, window: int, gram: int) -> DataFrame:
+    """(range, docs, entries, key): a task's windows that can repeat, as a run per range: the keys of its documents, and its
+    entries sorted by hash.  Where ``key`` is set the entries are places of windows that repeat within the run, found at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[np.ndarray] = []
+        ranges: list[np.ndarray] = []
         keys: list[int] = []
         count = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal entries, keys, count
+            nonlocal entries, ranges, keys, count
             e = np.concatenate(entries) if entries else np.empty(0, _ENTRY)
-            order = np.lexsort((e["b"], e["a"]))
-            e = e[order]
+            part = np.concatenate(ranges) if ranges else np.empty(0, np.int64)
+            order = np.lexsort((e["b"], e["a"], part))
+            e, part = e[order], part[order]
             new = np.concatenate(([True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1]))) if len(e) else np.empty(0, bool)
             group = np.cumsum(new) - 1
             twice = np.bincount(group, minlength=1)[group] > 1 if len(e) else new
             first = e[new].copy()
             first["doc"][twice[new]] = _ALONE
-            part = (first["a"] >> U64(32)) * U64(n) >> U64(32)
-            cuts = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
+            cuts = np.searchsorted(part[new], np.arange(n + 1))
             some = np.flatnonzero(np.diff(cuts))
             edges = np.append(cuts[some], len(first))
             ids = np.array(keys, np.int64)
@@ -115,7 +116,7 @@ def _runs(held: DataFrame, n: int, window: int, gram: int) -> DataFrame:
             if len(own):
                 doc, at = np.unique(own["doc"], return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array((doc % n).astype(np.int32)), pa.nulls(len(doc), pa.binary()), _binary(own["at"], np.append(at, len(own))), pa.array(ids[doc])], ["range", "docs", "entries", "key"])
-            entries, keys, count = [], [], 0
+            entries, ranges, keys, count = [], [], [], 0
 
         for whole_batch in batches:
             for batch in pieces(whole_batch, 1):
@@ -140,13 +141,18 @@ def _runs(held: DataFrame, n: int, window: int, gram: int) -> DataFrame:
                         e["doc"] = len(keys) + owner[may]
                         e["at"] = w - b.first[owner[may]]
                         entries.append(e)
+                        g = h[may]
+                        at_hot = np.minimum(np.searchsorted(hot, g), max(0, len(hot) - 1))
+                        many = hot[at_hot] == g if len(hot) else np.zeros(len(g), bool)
+                        # elected grams are minima, so their hashes are small: mixed once more they cover all ranges alike
+                        ranges.append(((np.where(many, e["a"], mix(g)) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64))
                         count += len(e)
                     keys += batch.column(0).slice(lo, hi - lo).to_pylist()
                     if count >= RUN:
                         yield from close()
         yield from close()
 
-    return held.mapInArrow(run, "range int, docs binary, entries binary, key long")
+    return lean(held).mapInArrow(run, "range int, docs binary, entries binary, key long")
 
 
 def _code(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -188,13 +194,18 @@ def _merged(runs: DataFrame, n: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(key, places array<binary>) of a table (key, text): the starts, as 32-bit numbers, of windows that repeat."""
+    """(key, places array<binary>) of a table (doc_id, text, key): the starts, as 32-bit numbers, of windows that repeat."""
     n = partitions(docs.sparkSession)
     found = settled(_elections(docs, window, gram))
-    twice = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    sought = found.join(twice, "gram", "left_semi").groupBy("key").agg(F.collect_set("gram").alias("grams"))
-    held = docs.select("key", "text").join(sought, "key")
-    return _merged(_runs(held.select("key", "text", "grams"), n, window, gram), n).groupBy("key").agg(F.collect_list("places").alias("places"))
+    # a table of its own, so that both sides of the join are dealt out afresh and a hot gram's rows can be split
+    twice = settled(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
+    all_ = twice.agg(F.sum("c").alias("c")).first()["c"] or 0
+    # no more than 4 * n grams have more than that share
+    hot = np.sort(np.array([r["gram"] for r in twice.where(F.col("c") > max(1000, all_ / (4 * n))).select("gram").collect()], np.int64).view(np.uint64))
+    sought = found.join(twice.select("gram"), "gram", "left_semi").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    # doc_id goes along unused: with it, the texts are dealt out as the caller deals them out, once for both
+    held = docs.join(sought, "key").select("key", "text", "grams", "doc_id")
+    return _merged(_runs(held, n, hot, window, gram), n).groupBy("key").agg(F.collect_list("places").alias("places"))
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -223,7 +234,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                     out.append((total, total - len(words), b" ".join(words).decode()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string())))], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return lean(joined).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 class WindowIndex:
@@ -247,7 +258,7 @@ class WindowIndex:
                     one, two = (grams(b.word_hashes(x), window, y)[at].view(np.int64) for x, y in zip(BASES, BASES[1:], strict=False))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(at - b.first[owner]), pa.array(one), pa.array(two)], ["doc_id", "at", "a", "b"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, at long, a long, b long")
+        return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, at long, a long, b long")
 
     def runs(self) -> list[str]:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
