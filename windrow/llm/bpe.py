@@ -21,11 +21,13 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from .shared import lean
+
 END = "</w>"
-_KEEP_WORDS = 300_000
-_KEEP_CHUNKS = 500_000
-_KEEP_PAIRS = 2_000_000
-_PIECE = 4 << 20
+_KEEP_WORDS = 150_000
+_KEEP_CHUNKS = 200_000
+_KEEP_PAIRS = 1_000_000
+_PIECE = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -230,4 +232,4 @@ def encoded(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
                 text = pa.array([c.decode(x) for x in ids] if decode else [None] * len(ids), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, text], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

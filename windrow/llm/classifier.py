@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .bpe import pieces
 from .textblocks import BASES, U64, Block, blocks, grams, mix
+from .shared import lean
 
 BUCKET_BITS = 18
 #: At most so many labelled rows are used, those of least hash of doc_id; it does not grow with the input.
@@ -112,7 +113,7 @@ def model_of(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, epochs:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["at", "w"])
 
     out = np.zeros((1 << BUCKET_BITS) + 1)
-    for r in rows.repartition(1).mapInArrow(fit, "at int, w double").toLocalIterator():
+    for r in lean(rows.repartition(1)).mapInArrow(fit, "at int, w double").toLocalIterator():
         out[r["at"]] = r["w"]
     return out
 
@@ -134,5 +135,5 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
                     s = np.bincount(text, x * w[at], z - a) + w[-1]
                     yield pa.RecordBatch.from_arrays([piece.column(0).slice(a, z - a), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], ["doc_id", "score"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    found = lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import free, settled
 
 #: Lines of fewer words are never removed; those of fewer than NEAR_WORDS only where they are equal.
 MIN_WORDS, NEAR_WORDS = 3, 8
+#: The column that deduplicated() adds.
+LINES = "__lines"
 _SPACE = r"[\x20\x09\x0B-\x0D]+"
 
 
@@ -97,11 +99,12 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     Lines are cut at \\n; those without words stay.  A null text stays null and has no lines.  Rows equal in doc_id and text
     are one document, whose lines go or stay alike; rows with one doc_id and different texts are documents of
     their own.  An empty table gives an empty one; other columns stay as they are."""
-    gone = settled(removed(docs, min_words, near_words)).select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    joined = docs.withColumn("__key", _key()).join(gone, "__key", "left").withColumn("__all", F.split(_text(), "\n"))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone")), lambda i: F.element_at("__all", i + 1)), "\n")
-    text = F.when(F.col("text").isNull() | F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("__new", text)
-    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__all")).cast("long")
-    own = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast(t).alias(c) if c == "n_chars" and t in ("int", "bigint") else F.col(f"`{c}`") for c, t in docs.dtypes]
-    return out.select(*own, F.struct(count.alias("n_lines"), F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_gone")).alias("__lines"))
+    key, gone_, all_, new = free(docs, "key", "gone", "all", "new")
+    gone = settled(removed(docs.select("doc_id", "text"), min_words, near_words)).select(F.col("key").alias(key), F.col("gone").alias(gone_))
+    joined = docs.withColumn(key, _key()).join(gone, key, "left").withColumn(all_, F.split(_text(), "\n"))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone_)), lambda i: F.element_at(all_, i + 1)), "\n")
+    text = F.when(F.col("text").isNull() | F.col(gone_).isNull(), F.col("text")).otherwise(left)
+    out = joined.withColumn(new, text)
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(all_)).cast("long")
+    own = [F.col(new).alias("text") if c == "text" else F.length(new).cast(t).alias(c) if c == "n_chars" and t in ("int", "bigint") else F.col(f"`{c}`") for c, t in docs.dtypes]
+    return out.select(*own, F.struct(count.alias("n_lines"), F.when(F.col(gone_).isNull(), F.lit(0)).otherwise(F.size(gone_)).cast("long").alias("n_gone")).alias(LINES))

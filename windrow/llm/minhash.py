@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .shared import partitions
+from .shared import lean, partitions
 from .textblocks import BASES, U64, Block, blocks, grams, mix, whole
 
 BINS, BITS, WIDTH = 256, 4, 5
@@ -138,4 +138,4 @@ def compared(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: int =
                     ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    return successors(docs).select("bucket", "extra", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return lean(successors(docs).select("bucket", "extra", "doc_id", "text")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import free, settled
 
 KEY = "windrow"
+#: The column that replaced() adds.
+FOUND = "__found"
 KINDS = ("email", "ip", "card", "phone", "name")
 _MALE, _FEMALE = r"Mr|Herr|Señor|Sr|Monsieur|Господин", r"Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа"
 _LETTER = r"\p{L}\p{N}._%+-"
@@ -142,11 +144,12 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = settled(docs.select(row.alias("key"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)).alias("es")).where(F.size("es") > 0).dropDuplicates(["key"]))
     seen = found.select("key", F.posexplode("es").alias("i", "entity"))
     words = dictionary(seen, key)
-    new = seen.join(words, "entity").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate", "kind"))).alias("new")).select(F.col("key").alias("__key"), F.col("new").alias("__new"))
-    joined = docs.withColumn("__key", row).join(new, "__key", "left")
+    key_, new_ = free(docs, "key", "new")
+    new = seen.join(words, "entity").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate", "kind"))).alias("new")).select(F.col("key").alias(key_), F.col("new").alias(new_))
+    joined = docs.withColumn(key_, row).join(new, key_, "left")
     plain = F.split(F.col("text"), _ANY, -1)
-    filled = F.array_join(F.transform(plain, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__new"), i)["surrogate"], F.lit("")))), "")
-    of = lambda kind: F.filter(F.col("__new"), lambda e: e["kind"] == kind)
+    filled = F.array_join(F.transform(plain, lambda p, i: F.concat(p, F.coalesce(F.get(F.col(new_), i)["surrogate"], F.lit("")))), "")
+    of = lambda kind: F.filter(F.col(new_), lambda e: e["kind"] == kind)
     counts = F.create_map(*(x for k in KINDS for x in (F.lit(k), F.coalesce(F.size(of(k)), F.lit(0)).cast("long"))))
-    own = [F.when(F.col("__new").isNull(), F.col("text")).otherwise(filled).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*own, counts.alias("__found"))
+    own = [F.when(F.col(new_).isNull(), F.col("text")).otherwise(filled).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*own, counts.alias(FOUND))

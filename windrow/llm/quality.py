@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .shared import settled
-from .textblocks import BASES, U64, Block, blocks, grams, mix, whole
+from .shared import free, lean, settled
+from .textblocks import SPACE, U64, Block, blocks, grams, mix, whole
 
 WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -59,10 +59,7 @@ def repeated(key: np.ndarray) -> np.ndarray:
 def measures(b: Block) -> dict[str, np.ndarray]:
     """The measures of each text of a block, as long integers."""
     data, n = b.data, len(b)
-    word = np.zeros(len(data) + 1, np.int64)
-    np.add.at(word, b.start, 1)
-    np.add.at(word, b.end, -1)
-    solid = np.cumsum(word[:-1]) > 0
+    solid = ~SPACE[data]
     h = b.word_hashes()
     text_of_word = np.repeat(np.arange(n), b.counts)
     at, off = whole(b.first, WINDOW)
@@ -111,7 +108,7 @@ def measured(docs: DataFrame) -> DataFrame:
                     m = measures(b)
                     yield pa.RecordBatch.from_arrays([piece.column(0).slice(a, z - a), *(pa.array(m[k], pa.int64()) for k in MEASURES)], ["doc_id", *MEASURES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES))
+    return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES))
 
 
 def estimate(votes: np.ndarray, counts: np.ndarray, good: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
@@ -153,7 +150,7 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows that are kept, with their columns; the decision depends on the text alone, so rows that repeat a doc_id
     with another text are told apart."""
-    named = docs.withColumn("__id", F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
-    found = judged(docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), threshold)
-    keep = found.where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return named.join(keep, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) == F.col("__key"), "left_semi").drop("__id")
+    key, [name] = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), free(docs, "key")
+    found = judged(docs.select(key.alias("doc_id"), "text"), threshold)
+    keep = found.where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(keep, key == F.col(name), "left_semi")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import pieces
+from .shared import lean
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -148,4 +149,4 @@ def scanned(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.array(off, np.int32)), pa.array(out, kind))
                 yield pa.RecordBatch.from_arrays([piece.column(0), lists], ["doc_id", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long,base:boolean>>")
+    return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long,base:boolean>>")

@@ -22,6 +22,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table does not have."""
+    have = {c.lower() for c in df.columns}
+    return [next(n for n in (f"__{x}" + "_" * k for k in range(len(have) + 1)) if n.lower() not in have) for x in names]
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """The rows, to be sent to Python in batches of few megabytes: texts are long, and ten thousand of them, the default, are
+    held several times over by the JVM and the worker.  A session's own setting is left as it is."""
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", str(64 << 20), str(8 << 20))):
+        name, conf = f"spark.sql.execution.arrow.{key}", df.sparkSession.conf
+        if (conf.get(name, None) or "").removesuffix("b") == default:
+            conf.set(name, ours)
+    return df
+
+
 def folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, as in tests, one is set."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

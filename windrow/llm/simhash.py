@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, partitions, settled
+from .shared import components, free, lean, partitions, settled
 
 SEED = 42
 SPLIT = 1 << 18
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def blocks_of(budget: int) -> list[tuple[int, int]]:
@@ -189,6 +189,7 @@ def keep_first(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """The documents whose doc_id is their component's least; of rows that repeat it, one.  Columns stay as they are.
 
     A document without words is linked with all others without words, so one of those stays."""
+    [name] = free(docs, "id")
     found = near_duplicates(docs, width, budget)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _CHUNK = 1 << 19
 
 U64 = np.uint64
