@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,26 +132,43 @@ def estimate(votes: np.ndarray, counts: np.ndarray, good: np.ndarray, rounds: in
     return rate, share, q
 
 
-def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the measures, base_failed, quality (posterior probability that the document is good) and kept.
-
-    Texts without words, null ones too, fail the base.  Rows that repeat count each; an empty table gives an empty one;
-    other columns are not looked at."""
+def _voted(rows: DataFrame) -> DataFrame:
+    """Adds base_failed and votes, one bit a rule, to a table of measures."""
     fails = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
     bits = " + ".join(f"case when {rule} then {1 << i} else 0 end" for i, (rule, _) in enumerate(RULES.values()))
-    rows = settled(measured(docs).withColumn("base_failed", F.expr(fails)).withColumn("votes", F.expr(f"cast(case when n_words = 0 then 0 else {bits} end as int)")))
+    return rows.withColumn("base_failed", F.expr(fails)).withColumn("votes", F.expr(f"cast(case when n_words = 0 then 0 else {bits} end as int)"))
+
+
+def _posteriors(rows: DataFrame) -> dict[int, float]:
+    """The posterior of each combination of votes that the rows have."""
     seen = rows.groupBy("votes").count().orderBy("votes").collect()
     patterns = np.array([r["votes"] for r in seen], np.int64)
     votes = (patterns[:, None] >> np.arange(len(RULES))) & 1 == 1
     _, _, q = estimate(votes, np.array([r["count"] for r in seen], float), np.array([g for _, g in RULES.values()]))
-    table = F.create_map(*(F.lit(x) for p, v in zip(patterns.tolist(), q.tolist(), strict=True) for x in (p, v))) if len(seen) else F.lit(None).cast("map<int,double>")
-    return rows.withColumn("quality", F.element_at(table, F.col("votes").cast("bigint" if len(seen) else "int"))).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("votes")
+    return dict(zip(patterns.tolist(), q.tolist(), strict=True))
+
+
+def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the measures, base_failed, quality (posterior probability that the document is good) and kept.
+
+    Texts without words, null ones too, fail the base.  Rows that repeat count each; an empty table gives an empty one;
+    other columns are not looked at."""
+    rows = settled(_voted(measured(docs)))
+    q = _posteriors(rows)
+    table = F.create_map(*(F.lit(x) for kv in q.items() for x in kv)) if q else F.lit(None).cast("map<int,double>")
+    return rows.withColumn("quality", F.element_at(table, F.col("votes"))).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("votes")
 
 
 def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, with their columns; the decision depends on the text alone, so rows that repeat a doc_id
-    with another text are told apart."""
-    key, [name] = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), free(docs, "key")
-    found = judged(docs.select(key.alias("doc_id"), "text"), threshold)
-    keep = found.where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(keep, key == F.col(name), "left_semi")
+    """The rows that are kept, with their columns.
+
+    The corpus is measured once for the posteriors and once more to filter each row where it is, which moves no text."""
+    good = [v for v, q in _posteriors(_voted(measured(docs))).items() if q >= threshold]
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        parts = [measures(b) for _, _, b in blocks(pa.array(texts, pa.large_string(), from_pandas=True))]
+        return pd.DataFrame({k: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in MEASURES}).astype("int64")
+
+    [row, found] = free(docs, "row", "found")
+    both = lean(docs).select(F.struct("*").alias(row), F.pandas_udf(of, ", ".join(f"{k} long" for k in MEASURES))("text").alias(found))
+    return _voted(both.select(row, f"{found}.*")).where(~F.col("base_failed") & F.col("votes").isin(good)).select(f"{row}.*")

@@ -189,7 +189,9 @@ def keep_first(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """The documents whose doc_id is their component's least; of rows that repeat it, one.  Columns stay as they are.
 
     A document without words is linked with all others without words, so one of those stays."""
+    # null as a number that no document has, so that join and distinct deal the texts out once, by one key
     [name] = free(docs, "id")
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     found = near_duplicates(docs, width, budget)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias(name)).distinct()
+    return docs.withColumn(name, key).join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
