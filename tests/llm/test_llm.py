@@ -155,6 +155,22 @@ def test_split_tries_link_alike(spark):
     assert found[0] == found[1] and found[0]
 
 
+def test_split_tries_lose_no_link_of_a_dense_block(spark):
+    """Clusters of 8 that share their first 61 bits, so that node pairs stay large; those at distance 4 differ in one deep bit and in
+    one bit of each later block, and agree in the split block alone."""
+    rng = np.random.default_rng(2)
+    at = [a for a, _ in simhash.blocks_of(4)]
+    firsts = (rng.integers(0, 1 << 48, 4_000, dtype=np.uint64) << np.uint64(3)).tolist()
+    pairs = [(x, x ^ sum(1 << (63 - at[j + 1] - int(rng.integers(0, 4))) for j in range(1 + k % 4))) for k, x in enumerate(firsts[:400])]
+    every = {x | low for x in {*firsts, *(y for _, y in pairs)} for low in range(8)}
+    key = lambda v: int(np.uint64(v).view(np.int64))
+    df = spark.createDataFrame([(key(v),) for v in every], "fp long").cache()
+    found = [{r["node"]: r["root"] for r in simhash.components(simhash.links(df, 4, s)).collect()} for s in (1 << 18, 1000)]
+    for roots in found:
+        assert [np.bitwise_count(x ^ y) for x, y in pairs if roots[key(x)] != roots[key(y)]] == []
+    assert found[0] == found[1]
+
+
 def test_fingerprint_is_spark_xxhash(spark):
     want = spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0]
     assert np.uint64(simhash.fingerprint(b"A b\tC d")).view(np.int64) == want

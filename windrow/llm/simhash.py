@@ -60,10 +60,10 @@ def blocks_of(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def trie_join(group: np.ndarray, side: np.ndarray, fp: np.ndarray, turned: np.ndarray, differ: np.ndarray, budget: int, skip: int) -> np.ndarray:
+def trie_join(group: np.ndarray, side: np.ndarray, fp: np.ndarray, turned: np.ndarray, budget: int, skip: int) -> np.ndarray:
     """Index of the least linked row for each row.  Rows are sorted by (group, side, turned); a group is one trie to join
-    with itself, or, where it has sides 0 and 1, two tries to join, which differ in ``differ`` bits already.  ``skip``:
-    leading bits that are equal within a trie."""
+    with itself, or, where it has sides 0 and 1, two tries to join.  ``skip``: leading bits that are equal within a group;
+    those that tell a group's two tries apart come behind them, and the descent counts them."""
     n = len(fp)
     root = np.arange(n)
 
@@ -93,7 +93,7 @@ def trie_join(group: np.ndarray, side: np.ndarray, fp: np.ndarray, turned: np.nd
     ones = np.concatenate(([0], np.cumsum(side)))
     mid = stop - (ones[stop] - ones[begin])
     two = side[stop - 1] > 0
-    stack = [(skip, np.stack([np.where(two, begin, begin), np.where(two, mid, stop), np.where(two, mid, begin), np.where(two, stop, stop), differ[begin]]))]
+    stack = [(skip, np.stack([np.where(two, begin, begin), np.where(two, mid, stop), np.where(two, mid, begin), np.where(two, stop, stop), np.zeros(len(begin), np.int64)]))]
     while stack:
         bit, front = stack.pop()
         if front.shape[1] > _FRONT:
@@ -160,7 +160,7 @@ def links(prints: DataFrame, budget: int = 4, split: int = SPLIT) -> DataFrame:
             size = np.bincount(group)
             keep = ~(alone & ((sides[group] == 0) | (sides[group] == size[group])))
             fp, turned, same, side, group = fp[keep], turned[keep], same[:, keep], side[keep], group[keep]
-        root = trie_join(group, side, fp, turned, np.bitwise_count(same[2] ^ same[3]).astype(np.int64), budget, min(n for _, n in blocks))
+        root = trie_join(group, side, fp, turned, budget, min(n for _, n in blocks))
         own = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[root[own]].view(np.int64))], ["a", "b"])
 
