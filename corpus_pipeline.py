@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals, but for one word at most, go; documents stay."""
-    return lines.deduplicated(docs).drop("__lines")
+    return lines.deduplicated(docs, **lines.EVERY).drop("__lines")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,6 +256,18 @@ def test_lines(spark, docs, odd):
     assert lines.deduplicated(odd).columns[:-1] == odd.columns
 
 
+def test_line_query_takes_short_lines(spark, small, docs, odd):
+    from windrow.llm.queries import QUERIES
+
+    cut = gone(texts(docs), 1, 3)
+    assert any(len(t.split("\n")[k].split()) < 3 for d, t in texts(docs) for k in range(t.count("\n") + 1) if (d, k) in cut)
+    want = {(d, hashlib.sha256("\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in cut).encode()).hexdigest()) for d, t in texts(docs)}
+    assert {(r["doc_id"], r["kept_sha256"]) for r in QUERIES["op10_line_dedup"](spark, small).collect()} == want
+    rows = [(1, "https://a.b/c\nkey\none two three"), (2, "https://a.b/c\nkey\none two three"), (3, "one two four\nkey lock")]
+    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), **lines.EVERY).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [rows[0][1], "", "key lock"]
+
+
 def test_oracle(spark, small):
     from tests.oracle import connect, same
     from windrow.llm.queries import QUERIES

@@ -19,6 +19,8 @@ from .shared import free, settled
 
 #: Lines of fewer words are never removed; those of fewer than NEAR_WORDS only where they are equal.
 MIN_WORDS, NEAR_WORDS = 3, 8
+#: What the query and the pipeline take: equal lines with a word, and one-word edits from 3 words on.
+EVERY = {"min_words": 1, "near_words": 3}
 #: The column that deduplicated() adds.
 LINES = "__lines"
 _SPACE = r"[\x20\x09\x0B-\x0D]+"

@@ -59,7 +59,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(table(spark, sf_dir, "documents"))
+    found = lines.deduplicated(table(spark, sf_dir, "documents"), **lines.EVERY)
     return found.select("doc_id", "__lines.n_lines", F.col("__lines.n_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
