@@ -196,6 +196,14 @@ def test_secrets(spark, odd):
     assert secrets.scanned(odd).count() == len(ODD) and secrets.scanned(odd.limit(0)).count() == 0
 
 
+def test_secrets_run_to_their_end_whatever_stands_around_them():
+    rng = np.random.default_rng(3)
+    jwt = "".join(rng.choice(list("abcdefghijkLMNOPQRSTuvwxyz0123456789_-"), 800))
+    for before, value in (("Authorization: Bearer ", jwt), ("pwd: ", "zqxvkjwpmtrbnhgd"), ("aws_secret_access_key = ", "wJalrXUtnFEMIK7MDENGbPxRfiCY"), ("db_pwd: ", "x9$Kq!vL2pw7"), ("MY_ACCESS_KEY=", "Zx8kQw3vRt7pLm2n"), ("key of api-key: ", "=" * 300 + "x9$Kq!vL2pw7")):
+        assert (len(before), 3, len(before) + len(value)) in secrets.spans(before + value)[1]
+    assert not secrets.spans("password: " + "=" * 3000)[1] and not secrets.spans("spin: x9$Kq!vL2pw7 password: sunshine")[1]
+
+
 def test_minhash(spark, docs, odd):
     rows = sorted(texts(docs), reverse=True)
     got = {r["doc_id"]: r for r in minhash.compared(docs).collect()}

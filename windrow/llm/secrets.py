@@ -26,12 +26,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words before a value that make it a credential, and what may stand between; the value itself is group 1.
 _CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|auth|bearer|credentials?|(?:api|access|private|secret)[_ -]?key))["']?(?:\x20+is\x20+|\x20*(?::=|=>|[:=])\x20*|\x20+)["'`]?([^\s"'`,;<>|]{6,256})"""
+    r"""(?ai:(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|auth|bearer|credentials?|(?:(?:api|access|private|secret)[_ -]?)+key)(?:[_-](?:access|secret|private|api|key|token|value))*)["']?(?:\x20+is\x20+|\x20*(?::=|=>|[:=])\x20*|\x20+)["'`]?([^\s"'`,;<>|]{6,})"""
 )
 #: A bearer or pass word followed by a blank alone is mostly prose: there a value needs a digit and a letter.
 _SIGN = re.compile(r"[:=]|\bis\b")
 #: Guesses, as a power of ten, from which a value counts as a secret.
 COSTLY = 10.0
+#: Signs of a long value that are composed at a time, as repeats make the time grow with the square.
+WINDOW = 256
 
 # Words often used in passwords, by rank.
 WORDS = """password pass admin root user login welcome secret master letmein dragon monkey shadow sunshine princess
@@ -109,6 +111,11 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+def costly(value: str) -> bool:
+    """Whether the value, or a window of it where it is long, takes COSTLY guesses; half of a window overlaps the next."""
+    return any(guess_cost(value[i : i + WINDOW]) >= COSTLY for i in range(0, max(1, len(value) - WINDOW // 2), WINDOW // 2))
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """((start, kind, end) of the fixed patterns, of the costly values), each by start and kind; code points, end exclusive."""
     base: list[tuple[int, int, int]] = []
@@ -124,9 +131,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             value = m[1].rstrip(".):]}!?")
             if len(value) < 6 or not (_SIGN.search(text[m.start() : m.start(1)]) or (any(map(str.isdigit, value)) and any(map(str.isalpha, value)))):
                 continue
-            if value.isalpha() and value.islower():
-                continue
-            if guess_cost(value) >= COSTLY:
+            if costly(value):
                 more.append((m.start(1), 3, m.start(1) + len(value)))
     return sorted(base), more
 
