@@ -141,6 +141,14 @@ def test_simhash(spark, docs, odd):
     assert simhash.keep_first(odd).columns == odd.columns
 
 
+def test_keep_first_keeps_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, a + " end"), (3, " ".join(f"d{i}" for i in range(30))), (4, c), (-(1 << 63), " ".join(f"e{i}" for i in range(30))), (None, None), (9, "")]
+    kept = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    near = int(simhash.fingerprint(a.encode()) ^ simhash.fingerprint((a + " end").encode())).bit_count() <= 4
+    assert collections.Counter(kept) == collections.Counter([r for r in set(rows) if r not in ((4, c), (None, None), *([(None, a)] if near else []))])
+
+
 def test_split_tries_link_alike(spark):
     rng = np.random.default_rng(1)
     fps = set()

@@ -43,15 +43,15 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every text; a null text counts as empty."""
+def fingerprints(docs: DataFrame, width: int = 4, *also: str) -> DataFrame:
+    """(doc_id, fp long) of every text, and the columns ``also``, long integers; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
+    return lean(docs.select("doc_id", "text", *also)).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def blocks_of(budget: int) -> list[tuple[int, int]]:
@@ -186,12 +186,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, split: int
 
 
 def keep_first(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
-    """The documents whose doc_id is their component's least; of rows that repeat it, one.  Columns stay as they are.
+    """Of each component the row of least doc_id (null last), and of those the one whose text's hash is least; of rows that are
+    equal in both, one.  So rows that share a doc_id, or have none, stay where nothing links them.  Columns stay as they are.
 
     A document without words is linked with all others without words, so one of those stays."""
-    # null as a number that no document has, so that join and distinct deal the texts out once, by one key
-    [name] = free(docs, "id")
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    found = near_duplicates(docs, width, budget)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias(name)).distinct()
-    return docs.withColumn(name, key).join(keep, name, "left_semi").dropDuplicates([name]).drop(name)
+    # null as a number, told from a real one by the mark, so that join and distinct deal the texts out once, by one key
+    name, mark = free(docs, "id", "mark")
+    marked = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(mark, F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))))
+    prints = settled(fingerprints(marked, width, mark))
+    classes = settled(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", mark)).alias("least")))
+    roots = components(links(classes.select("fp"), budget))
+    first = classes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("component")).agg(F.min("least").alias("least"))
+    keep = first.select(F.coalesce("least.doc_id", F.lit(-(1 << 63))).alias(name), F.col(f"least.{mark}").alias(mark))
+    return marked.join(keep, [name, mark], "left_semi").dropDuplicates([name, mark]).select(*(F.col(f"`{c}`") for c in docs.columns))
