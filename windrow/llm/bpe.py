@@ -12,22 +12,21 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .shared import lean
+from .shared import lean, pieces
 
 END = "</w>"
 _KEEP_WORDS = 150_000
 _KEEP_CHUNKS = 200_000
 _KEEP_PAIRS = 1_000_000
-_PIECE = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -113,21 +112,29 @@ class Codec:
         return [self.whole[c] for c in word]
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Exact merging: the pair of least rank, leftmost first, until none can be merged."""
-        get, ids, none, low = self.rank.get, list(ids), 1 << 60, (1 << 20) - 1
-        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            ids[i] = new = best & low
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | new, none)
-            if i < len(ranks):
-                ranks[i] = get(new << 20 | ids[i + 1], none)
-        return ids
+        """Exact merging: the pair of least rank, leftmost first, until none can be merged.
+
+        Neighbours are linked and pairs wait in a heap, so a word of n letters takes n log n steps; a pair whose letters have
+        been merged away since is passed over."""
+        get, ids, low = self.rank.get, list(ids), (1 << 20) - 1
+        n = len(ids)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = right[i]
+            if ids[i] < 0 or j >= n or get(ids[i] << 20 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = r & low, -1
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+                if (r := get(ids[i] << 20 | ids[k])) is not None:
+                    heappush(heap, (r, i))
+            if (h := left[i]) >= 0 and (r := get(ids[h] << 20 | ids[i])) is not None:
+                heappush(heap, (r, h))
+        return [x for x in ids if x >= 0]
 
     def fits(self, codes: np.ndarray) -> np.ndarray:
         """For each code left * size + right (a token alone: left = size) whether the merges leave it as it is."""
@@ -203,22 +210,13 @@ def codec(definition: str) -> Codec:
     return Codec(definition)
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = _PIECE) -> Iterator[pa.RecordBatch]:
-    """The batch in stretches of about ``most`` bytes of that column, so that what is made of them stays small."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part, a = np.cumsum(size) // most, 0
-    for b in [*(np.flatnonzero(np.diff(part)) + 1), len(batch)]:
-        if b > a:
-            yield batch.slice(a, b - a)
-        a = b
-
-
 def encoded(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """(doc_id, ids array<int>, decoded string): the tokens of each whole text and what they decode to.
 
     ``path`` is a tokenizers file, read on the driver and sent along (a few MB whatever the input).  A null text counts
-    as empty and has no tokens; special tokens written in a text are those tokens.  Rows that repeat are rows of their
-    own; an empty table gives an empty one; other columns are not looked at."""
+    as empty and has no tokens; special tokens written in a text are those tokens.  Of merges of one rank the leftmost is made
+    first.  A very long text or word is encoded whole, in time that grows with its length times the logarithm of it.  Rows
+    that repeat are rows of their own; an empty table gives an empty one; other columns are not looked at."""
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 

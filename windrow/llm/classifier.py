@@ -14,9 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import pieces
 from .textblocks import BASES, U64, Block, blocks, grams, mix
-from .shared import lean
+from .shared import lean, pieces
 
 BUCKET_BITS = 18
 #: At most so many labelled rows are used, those of least hash of doc_id; it does not grow with the input.
@@ -103,7 +102,9 @@ def model_of(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, epochs:
     known = labels.where("doc_id is not null and quality is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # ``most`` rows of two numbers: a bounded table.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # of rows that share a doc_id one text counts, that of least hash
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").cast("int").alias("quality"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
@@ -121,7 +122,8 @@ def model_of(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, epochs:
 def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row.
 
-    A text without words, a null one too, has the constant's score.  Without labels every score is 0.5.  Rows that repeat
+    A text without words, a null one too, has the constant's score; a very long one is read whole; of scores at the cut exactly the
+    label is 1.  Without labels every score is 0.5.  Rows that repeat
     are rows of their own; a doc_id with two labels takes the lesser; a null doc_id is not held out and learns nothing;
     an empty table gives an empty one; other columns are not looked at."""
     weights = docs.sparkSession.sparkContext.broadcast(model_of(docs, labels))

@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from .shared import free, settled
 
-#: Lines of fewer words are never removed; those of fewer than NEAR_WORDS only where they are equal.
-MIN_WORDS, NEAR_WORDS = 3, 8
-#: What the query and the pipeline take: equal lines with a word, and one-word edits from 3 words on.
-EVERY = {"min_words": 1, "near_words": 3}
+#: The edit bound is one word in lines of so many words, a third of them at most, and none in shorter ones, which go only
+#: where they are equal: in a line of one word one edit makes it any other such line.
+NEAR_WORDS = 3
 #: The column that deduplicated() adds.
 LINES = "__lines"
 _SPACE = r"[\x20\x09\x0B-\x0D]+"
@@ -51,15 +50,14 @@ def lines_of(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
 
 def _links(wanted: DataFrame) -> DataFrame:
     """(h, other): links between lines of a table (h, first, w), each from the later line to the earlier one, verified."""
-    place = lambda at, word: F.shiftrightunsigned(F.xxhash64(at, word), 21)  # noqa: E731  43 bits: sums of a million words stay whole numbers
     words = wanted.select("h", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    w = Window.partitionBy("h").orderBy("i")
-    parts = words.withColumn("here", place(F.col("i"), F.col("word"))).withColumn("moved", place(F.col("i") - 1, F.col("word")))
-    sums = (
-        parts.withColumn("before", F.sum("here").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("here"))
-        .withColumn("after", F.coalesce(F.sum("moved").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)))
-        .select("h", "first", "n", "i", (F.col("before") + F.col("after")).alias("variant"), F.when(F.col("i") == F.col("n") - 1, F.col("before") + F.col("here")).alias("full"))
-    )
+    w = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    # the exclusive or of the places' hashes undoes itself: what stands after a word is all but what runs up to it
+    parts = words.withColumn("here", F.xxhash64("i", "word")).withColumn("moved", F.xxhash64(F.col("i") - 1, "word"))
+    runs = parts.withColumn("upto", F.bit_xor("here").over(w)).withColumn("shifted", F.bit_xor("moved").over(w)).withColumn("all", F.bit_xor("moved").over(Window.partitionBy("h")))
+    sums = runs.select(
+        "h", "first", "n", "i", F.col("upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("shifted")).alias("variant"), F.when(F.col("i") == F.col("n") - 1, F.col("upto")).alias("full"),
+    )
     sums = settled(sums)
     group = ["n", "i", "variant"]
     least = sums.groupBy(*group).agg(F.count("*").alias("c"), F.min(F.struct("first", "h")).alias("least")).where("c > 1").select(*group, F.col("least.h").alias("other"))
@@ -74,12 +72,12 @@ def _links(wanted: DataFrame) -> DataFrame:
     return sound.select(F.when(F.col("later"), F.col("h")).otherwise(F.col("other")).alias("h"), F.when(F.col("later"), F.col("other")).otherwise(F.col("h")).alias("other"))
 
 
-def removed(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def removed(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, key, gone array<int>): which lines of which document go.
 
     A line goes where an earlier line of the corpus, by doc_id (null last), text's hash and place, has the same words, or
     words one edit away; both are judged on the input, not on what is left."""
-    rows = settled(lines_of(docs, near_words).where(F.col("n") >= min_words))
+    rows = settled(lines_of(docs, near_words))
     distinct = settled(rows.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("n").alias("n"), F.first("halves").alias("halves")))
     halves = distinct.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
@@ -94,15 +92,16 @@ def removed(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_
     return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key")).agg(F.collect_set("at.line").alias("gone"))
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """The rows with their lines' duplicates taken out of ``text`` and, where there is such a column, n_chars to match,
-    and ``n_lines`` and ``n_gone`` as long integers in a struct ``lines``.
+    and ``n_lines`` and ``n_gone`` as long integers in a struct ``__lines``.
 
-    Lines are cut at \\n; those without words stay.  A null text stays null and has no lines.  Rows equal in doc_id and text
+    Lines are cut at \\n; those without words stay.  A very long line is compared whole, in time that grows with its length.
+    Of equal lines in one document the first stays; of two equal documents the one of lesser doc_id.  A null text stays null and has no lines.  Rows equal in doc_id and text
     are one document, whose lines go or stay alike; rows with one doc_id and different texts are documents of
     their own.  An empty table gives an empty one; other columns stay as they are."""
     key, gone_, all_, new = free(docs, "key", "gone", "all", "new")
-    gone = settled(removed(docs.select("doc_id", "text"), min_words, near_words)).select(F.col("key").alias(key), F.col("gone").alias(gone_))
+    gone = settled(removed(docs.select("doc_id", "text"), near_words)).select(F.col("key").alias(key), F.col("gone").alias(gone_))
     joined = docs.withColumn(key, _key()).join(gone, key, "left").withColumn(all_, F.split(_text(), "\n"))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone_)), lambda i: F.element_at(all_, i + 1)), "\n")
     text = F.when(F.col("text").isNull() | F.col(gone_).isNull(), F.col("text")).otherwise(left)

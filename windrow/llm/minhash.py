@@ -9,6 +9,7 @@ Of each value ``BITS`` low-order bits are kept; as different values agree in the
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import pieces
-from .shared import lean, partitions
+from .shared import lean, partitions, pieces
 from .textblocks import BASES, U64, Block, blocks, grams, mix, whole
 
 BINS, BITS, WIDTH = 256, 4, 5
+#: Ranges of doc_id that each task works through.
+PER_TASK = 8
 _EMPTY = U64(2**64 - 1)
 
 
@@ -72,41 +74,53 @@ def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarra
 
 
 def successors(docs: DataFrame) -> DataFrame:
-    """(bucket, extra, doc_id, text), one bucket per task, sorted: each row's successor in descending doc_id (null last;
-    equal ones by text) is the next row.  A bucket ends with the next one's first rows, marked extra; the last one with
-    the first one's, so the order is a ring.
-
-    The rows are dealt by ranges of doc_id in one shuffle; what the driver gets are one range bound and one greatest
-    doc_id per task."""
-    n = partitions(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    cuts = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("c")).first()["c"] or []
-    bounds = np.unique(np.array(cuts, np.int64))
+    """(bucket, extra, doc_id, text), sorted within tasks: each row's successor in descending doc_id (null last; equal ones by
+    text) is the next row.  A bucket ends with the next one's first row, marked extra; the last one with the first one's, so
+    the order is a ring.
+
+    The rows are dealt by ranges of doc_id in one shuffle, ``PER_TASK`` ranges a task so that tasks even out.  A doc_id, or a
+    want of one, that many rows share gets as many ranges as its share, by the text's hash.  What the driver gets are the
+    ranges' bounds and heads, two numbers each."""
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    n = partitions(spark)
+    m = PER_TASK * n
+    known, none = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    seen = docs.select(F.percentile_approx("doc_id", [i / m for i in range(1, m)], 10 * m).alias("c"), F.count("*").alias("all"), F.count("doc_id").alias("known")).first()
+    bounds, times = np.unique(np.array(seen["c"] or [], np.int64), return_counts=True)
+    nulls = math.ceil((seen["all"] - seen["known"]) * m / max(1, seen["all"]))
+    # ranges before each bound: a bound met k > 1 times has k ranges of its own, and one behind it
+    own = np.where(times > 1, times, 0)
+    ahead = nulls + np.concatenate(([0], np.cumsum(1 + own)))
+    split = nulls > 1 or bool((own > 0).any())
+    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33).cast("int") if split else F.lit(0)
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, 1 + np.searchsorted(bounds, ids.fillna(0).astype("int64"), "right")))
-
-    # Only the null ids of a column that has them are in bucket 0, so their loss of precision as floats does not matter.
-    known = docs.where("doc_id is not null")
-    dealt = known.select("*", bucket("doc_id").alias("bucket")).unionByName(docs.where("doc_id is null").withColumn("bucket", F.lit(0)))
-    ids = known.select("doc_id", bucket("doc_id").alias("bucket")).unionByName(docs.where("doc_id is null").select("doc_id", F.lit(0).alias("bucket")))
-    heads = sorted((r["bucket"], r["head"]) for r in ids.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())[::-1]
+    def bucket(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        v, t = ids.to_numpy(np.int64), ties.to_numpy(np.int64)
+        at = np.searchsorted(bounds, v, "right")
+        many = np.concatenate(([0], own))[at]
+        equal = (at > 0) & (many > 0) & (np.concatenate(([0], bounds))[at] == v)
+        return pd.Series(ahead[at] - many + np.where(equal, t * many >> 31, many))
+
+    dealt = known.select("*", tie.alias("tie")).select("*", bucket("doc_id", "tie").alias("bucket"))
+    dealt = dealt.unionByName(none.select("*", tie.alias("tie")).select("*", F.expr(f"cast(tie * {nulls}L >> 31 as int)").alias("bucket")))
+    heads = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head")).select("bucket", "head.doc_id", "head.tie").collect())[::-1]
     if not heads:
         return dealt.select("bucket", F.lit(False).alias("extra"), "doc_id", "text")
-    ring = docs.sparkSession.createDataFrame([(b, h, heads[i - 1][0]) for i, (b, h) in enumerate(heads)], "bucket int, head long, before int")
-    to = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("bucket"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("extra"))))
-    # One row per task: a bounded table.
-    sent = dealt.join(F.broadcast(ring), "bucket").select("doc_id", "text", F.explode(to).alias("to")).select("to.*", "doc_id", "text")
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    ring = spark.createDataFrame([(b, h, t, heads[i - 1][0]) for i, (b, h, t) in enumerate(heads)], "bucket int, head long, head_tie int, before int")
+    first = dealt.join(F.broadcast(ring), "bucket").where(F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie")))  # a row a range
+    extra = first.groupBy("before").agg(F.max(F.struct("doc_id", "tie", F.coalesce("text", F.lit("")).alias("text"))).alias("row")).select(F.col("before").alias("bucket"), F.lit(True).alias("extra"), "row.*")
+    sent = dealt.select("bucket", F.lit(False).alias("extra"), "doc_id", "tie", "text").unionByName(extra)
+    return sent.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.coalesce("text", F.lit("")).desc())
 
 
 def compared(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """For each row: its fingerprint, that of its edited text (the last half of its code points replaced by the next
     document's first as many, or all), and their likeness, and that to the next document.
 
-    A null text counts as empty; a text without words has the empty fingerprint.  Rows that repeat are rows of their own,
-    one row is its own successor, an empty table gives an empty one; other columns are not looked at."""
+    A null text counts as empty; a text without words has the empty fingerprint; a very long one is read whole.  Rows that
+    repeat are rows of their own; of rows with one doc_id, or none, the order is by text; one row is its own successor, an
+    empty table gives an empty one; other columns are not looked at."""
 
     def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [sketch(b, width, bins, bits) for _, _, b in blocks(pa.array(texts, pa.large_string()))]

@@ -27,7 +27,7 @@ def _offset(seed: str) -> F.Column:
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(__src, __none, source_size, target) of a table (__src, __none, n) of bucket sums: one row per source.
 
-    The share of each is the least of its cap and its weight times a level; the level is found where, by rising ratio of
+    These windows run over one row a source, in one task, in time that grows with the number of sources.  The share of each is the least of its cap and its weight times a level; the level is found where, by rising ratio of
     cap to weight, what the sources before leave reaches it."""
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy("__none", "__src")) - 1) % len(weights) + 1).cast("int"))
     by_source = sized.groupBy("__src", "__none").agg(F.sum("__words").alias("source_size")).withColumn("__w", w)
@@ -35,7 +35,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     levels = (
         by_source.withColumn("__ratio", F.col("source_size") * F.lit(cap) / F.col("__w"))
         .withColumn("__before", F.coalesce(F.sum(F.col("source_size") * cap).over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("__left", F.sum("__w").over(rise.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("__left", F.sum("__w").over(Window.partitionBy()) - F.coalesce(F.sum("__w").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("__total", F.sum("source_size").over(Window.partitionBy()))
         .withColumn("__level", (F.col("__total") - F.col("__before")) / F.col("__left"))
     )
@@ -46,7 +46,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """Each row as ``__row``, with size, source_size, target and copies; select what is needed, explode by copies to mix.
 
-    size is the number of words, 0 for a null or empty text; such rows are ranked like others and take no words.  A null
+    size is the number of words, 0 for a null or empty text; such rows are ranked like others and take no words; a very long
+    text is counted whole.  Rows of one source, band and hash are ordered by doc_id, null first, and size.  A null
     source is a source of its own, after all others.  Rows that repeat are rows of their own; where all words count
     0, so do the targets; an empty table gives an empty one.  Columns of the input stay in ``__row``, so none can clash."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD)).cast("long")
@@ -70,6 +71,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its own columns."""
+    """The mix itself: each row as often as it is taken, with its own columns.  Null, empty and very long texts, repeated rows and
+    empty tables are treated as ``mixed`` says."""
     taken = mixed(docs, weights, cap, seed).where("copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import pieces
-from .shared import free, lean, settled
+from .shared import free, lean, pieces, settled
 from .textblocks import SPACE, U64, Block, blocks, grams, mix, whole
 
 WINDOW = 5
@@ -100,7 +99,7 @@ def measures(b: Block) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of each whole text; a null text counts as empty."""
+    """doc_id and the measures of each whole text, however long; a null text counts as empty, and rows that repeat are measured each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +150,8 @@ def _posteriors(rows: DataFrame) -> dict[int, float]:
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the measures, base_failed, quality (posterior probability that the document is good) and kept.
 
-    Texts without words, null ones too, fail the base.  Rows that repeat count each; an empty table gives an empty one;
+    Texts without words, null ones too, fail the base; a very long one is measured whole; texts with one combination of votes tie and
+    share one posterior.  Rows that repeat count each; an empty table gives an empty one;
     other columns are not looked at."""
     rows = settled(_voted(measured(docs)))
     q = _posteriors(rows)
@@ -160,7 +160,8 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def filtered(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, with their columns.
+    """The rows that are kept, with their columns, repeated rows and clashing names included; null and wordless texts go, very long
+    ones are measured whole, an empty table gives an empty one.
 
     The corpus is measured once for the posteriors and once more to filter each row where it is, which moves no text."""
     good = [v for v, q in _posteriors(_voted(measured(docs))).items() if q >= threshold]

@@ -39,7 +39,9 @@ def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scanned(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    found = secrets.scanned(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("found", lambda x: x["base"])
@@ -59,7 +61,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(table(spark, sf_dir, "documents"), **lines.EVERY)
+    found = lines.deduplicated(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "__lines.n_lines", F.col("__lines.n_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

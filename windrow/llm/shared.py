@@ -6,7 +6,11 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +42,23 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of about ``most`` bytes of that column, so that what is made of them stays small."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part, a = np.cumsum(size) // most, 0
+    for b in [*(np.flatnonzero(np.diff(part)) + 1), len(batch)]:
+        if b > a:
+            yield batch.slice(a, b - a)
+        a = b
+
+
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one is set."""
+    """The folder of spark.checkpoint.dir.  Where it is unset, a local session, as in tests, gets one of its own; a cluster has
+    no folder that all machines are known to share, so there it is an error."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="windrow-")
         spark.sparkContext.setCheckpointDir(own)
     return own
@@ -52,18 +69,35 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/windrow-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    expire(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def expire(spark: SparkSession, path: str) -> None:
+    """Delete this folder when the session ends."""
+    _written.append((spark, path))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of a ``settled`` result that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        with contextlib.suppress(Exception):
+            delete(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1].rstrip("/").rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]]
+
+
 @atexit.register
 def discard() -> None:
     """Delete what ``settled`` has written."""
     while _written:
         spark, path = _written.pop()
         with contextlib.suppress(Exception):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,7 +115,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        links = step(small)
+        before, links = links, step(small)
+        release(before)
         seen = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == last:
             break

@@ -1,37 +1,44 @@
 """Substring deduplication with a log-structured index of window fingerprints.
 
-A window is ``WINDOW`` consecutive words.  Two passes find those whose words start anywhere else.
-
-1.  Each window elects one of its ``GRAM``-word grams, that of the least hash, the last of equals.  Equal windows elect the
-    same one, so only windows whose elected gram occurs at two places can repeat.  Elections are shared by neighbouring
-    windows; about one word in fifteen is elected.
-2.  The windows that can repeat are hashed to 96 bits and written, per task and range, as sorted runs.  The range is that of
-    the elected gram's hash, so that a passage's windows stay together; for grams that many windows elect it is that of the
-    window's own hash, which spreads them.  The runs of a range are merge-joined; a hash in two runs, or twice in one, repeats.  What repeats within a run is found where the
-    run is made and enters the merge as one entry, so a passage in a third of all documents sends one entry a run.
-
-``WindowIndex`` keeps such runs on disk: a new batch is merge-joined with them, verified, appended as one more run, and
-runs are compacted into one from time to time.
+A window is ``WINDOW`` consecutive words; its fingerprint is the hash of the ``GRAM``-word gram that it elects, that of the
+least hash, the last of equals.  Equal windows elect the same gram, and neighbours share elections: about one word in
+fifteen is elected.
+
+1.  ``WindowIndex`` keeps the fingerprints of earlier batches, with how often each was elected, as sorted immutable runs in
+    buckets of the hash.  A new batch becomes a run of its own and is merge-joined with the earlier ones, bucket by bucket,
+    which moves none of them; fingerprints that have now been met twice are what the batch answers with.  Runs of one level
+    are compacted into one of the next.
+2.  Windows with such a fingerprint are verified: they are hashed over their words, 64 bits by a polynomial and 64 bits by
+    BLAKE2, and written, per task and range, as sorted runs.  The range is that of the elected gram's hash, so that a passage's
+    windows stay together; for grams that many windows elect it is that of the window's own hash, which spreads them.  The
+    runs of a range are merged; a hash in two runs, or twice in one, repeats.  What repeats within a run is found where the run
+    is made and enters the merge as one entry, so a passage in a third of all documents sends one entry a run.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import pieces
-from .shared import lean, partitions, settled
+from .shared import delete, folder, lean, partitions, pieces, release, settled
 from .textblocks import BASES, U64, Block, blocks, grams, mix, whole
 
 WINDOW, GRAM = 35, 6
 #: A run is closed when it holds so many windows.
 RUN = 1 << 18
-_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4"), ("at", "<u4")])
+#: The query adds its documents to the index in so many batches; runs of one level are compacted from FAN on.
+BATCHES, FAN = 4, 3
+#: Ranges of window hashes that each task works through, one at a time.
+PER_TASK = 4
+_ENTRY = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<u4"), ("at", "<u4")])
 _ALONE = np.uint32(2**32 - 1)
 
 
@@ -61,6 +68,17 @@ def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.dtype.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
+def digests(text: bytes, at: list[int], window: int) -> np.ndarray:
+    """64 bits of BLAKE2 of the words, joined by one space, of the windows that start at these words of a text."""
+    words = text.split()
+    line = b" ".join(words)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.concatenate(([0], end[:-1] + 1))
+    f = hashlib.blake2b
+    cut = zip(start[at].tolist(), end[np.array(at) + window - 1].tolist(), strict=True)
+    return np.frombuffer(b"".join(f(line[s:e], digest_size=8).digest() for s, e in cut), U64)
+
+
 def _elections(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(key, gram) of each gram that a document's windows elect, once per place."""
 
@@ -127,9 +145,9 @@ def _runs(held: DataFrame, n: int, hot: np.ndarray, window: int, gram: int) -> D
                     at, _, h = elected(b, window, gram)
                     owner = np.searchsorted(b.first, at, "right") - 1
                     # one sorted list of (document, gram) for the block: grams are looked up by document
-                    mine = np.concatenate([np.sort(values[off[i] : off[i + 1]]) for i in range(lo, hi)]) if hi > lo else values[:0]
+                    held_grams = np.concatenate([np.sort(values[off[i] : off[i + 1]]) for i in range(lo, hi)]) if hi > lo else values[:0]
                     top = np.repeat(np.arange(hi - lo), off[lo + 1 : hi + 1] - off[lo:hi])
-                    code = np.unique(_code(mine, top))
+                    code = np.unique(_code(held_grams, top))
                     ask = _code(h, owner)
                     hit = np.searchsorted(code, ask)
                     may = (hit < len(code)) & (code[np.minimum(hit, len(code) - 1)] == ask) if len(code) else np.zeros(len(ask), bool)
@@ -137,9 +155,11 @@ def _runs(held: DataFrame, n: int, hot: np.ndarray, window: int, gram: int) -> D
                     if len(w):
                         e = np.empty(len(w), _ENTRY)
                         e["a"] = grams(b.word_hashes(BASES[0]), window, BASES[1])[w]
-                        e["b"] = (grams(b.word_hashes(BASES[1]), window, BASES[2])[w] >> U64(32)).astype(np.uint32)
-                        e["doc"] = len(keys) + owner[may]
-                        e["at"] = w - b.first[owner[may]]
+                        mine = owner[may]
+                        edge = np.searchsorted(mine, np.arange(len(b) + 1))
+                        e["b"] = np.concatenate([digests(b.text(i), (w[edge[i] : edge[i + 1]] - b.first[i]).tolist(), window) for i in np.unique(mine).tolist()])
+                        e["doc"] = len(keys) + mine
+                        e["at"] = w - b.first[mine]
                         entries.append(e)
                         g = h[may]
                         at_hot = np.minimum(np.searchsorted(hot, g), max(0, len(hot) - 1))
@@ -162,60 +182,180 @@ def _code(gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _merged(runs: DataFrame, n: int) -> DataFrame:
     """(key, places): where windows of a document start that repeat, from the runs of each hash range."""
 
+    def merge(runs_: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([x for x, _ in runs_])
+        base = np.concatenate(([0], np.cumsum([len(x) for x, _ in runs_])))
+        e = np.concatenate([x for _, x in runs_])
+        doc = e["doc"].astype(np.int64) + np.repeat(base[:-1], [len(x) for _, x in runs_])
+        alone = e["doc"] == _ALONE
+        order = np.lexsort((e["b"], e["a"]))
+        a, b = e["a"][order], e["b"][order]
+        same = np.zeros(len(e) + 1, bool)
+        same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        again = np.empty(len(e), bool)
+        again[order] = same[:-1] | same[1:]
+        pick = again & ~alone
+        d, at = doc[pick], e["at"][pick]
+        o = np.lexsort((at, d))
+        d, at = d[o], at[o]
+        u, start = np.unique(d, return_index=True)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), _binary(at, np.append(start, len(at)))], ["key", "places"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = -1
         for batch in batches:
             for r, docs, entries, key in zip(*(c for c in batch.columns), strict=True):
                 if key.is_valid:
                     yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], pa.int64()), pa.array([entries.as_py()], pa.binary())], ["key", "places"])
-                else:
-                    by.setdefault(r.as_py(), []).append((np.frombuffer(docs.as_py(), np.int64), np.frombuffer(entries.as_py(), _ENTRY)))
-        for runs_ in by.values():
-            ids = np.concatenate([x for x, _ in runs_])
-            base = np.concatenate(([0], np.cumsum([len(x) for x, _ in runs_])))
-            e = np.concatenate([x for _, x in runs_])
-            doc = e["doc"].astype(np.int64) + np.repeat(base[:-1], [len(x) for _, x in runs_])
-            alone = e["doc"] == _ALONE
-            order = np.lexsort((e["b"], e["a"]))
-            a, b = e["a"][order], e["b"][order]
-            same = np.zeros(len(e) + 1, bool)
-            same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-            again = np.empty(len(e), bool)
-            again[order] = same[:-1] | same[1:]
-            pick = again & ~alone
-            d, at = doc[pick], e["at"][pick]
-            o = np.lexsort((at, d))
-            d, at = d[o], at[o]
-            u, start = np.unique(d, return_index=True)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), _binary(at, np.append(start, len(at)))], ["key", "places"])
-
-    return runs.repartition(n, "range").mapInArrow(join, "key long, places binary")
-
-
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(key, places array<binary>) of a table (doc_id, text, key): the starts, as 32-bit numbers, of windows that repeat."""
+                    continue
+                if r.as_py() != now and held:
+                    yield from merge(held)
+                    held = []
+                now = r.as_py()
+                held.append((np.frombuffer(docs.as_py(), np.int64), np.frombuffer(entries.as_py(), _ENTRY)))
+        if held:
+            yield from merge(held)
+
+    return runs.repartitionById(n, F.col("range") % n).sortWithinPartitions("range").mapInArrow(join, "key long, places binary")
+
+
+class WindowIndex:
+    """Fingerprints of the windows of earlier batches, as sorted immutable runs in a folder that all machines share.
+
+    A run is a table (gram, c), bucketed and sorted by gram, in a folder named for the batches that it covers.  A folder counts
+    from when it has been written whole (its _SUCCESS); what a lost driver leaves behind is passed over, and so are runs that
+    a compacted one covers.  With ``keep``, each batch's places (key, gram) are kept too, which later batches need to find
+    the earlier documents that they repeat."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, keep: bool = True):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        known = [int(m[3]) for m in self._folders() if m[3]]
+        self.buckets = known[0] if known else buckets or partitions(spark)
+
+    def _folders(self) -> list[re.Match]:
+        """The folders written whole: run-<first batch>-<last batch>-<buckets>-<name>, or places-<batch>-<batch>--<name>."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        paths = [x.getPath() for x in fs.listStatus(where)] if fs.exists(where) else []
+        done = [str(p.getName()) for p in paths if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return [m for name in sorted(done) if (m := re.fullmatch(r"(?:run|places)-(\d+)-(\d+)-(\d*)-\w+", name))]
+
+    def runs(self) -> list[tuple[int, int, str]]:
+        """(first batch, last batch, folder) of the runs that count: of those that cover a batch, the longest, once."""
+        found: list[tuple[int, int, str]] = []
+        for lo, hi, name in sorted(((int(m[1]), int(m[2]), m[0]) for m in self._folders() if m[3]), key=lambda x: (x[0], -x[1], x[2])):
+            if not found or hi > found[-1][1]:
+                found.append((lo, hi, name))
+        return found
+
+    def _table(self, name: str) -> DataFrame:
+        """A run as a table that knows its buckets."""
+        table = "windrow_" + name.replace("-", "_")
+        self.spark.sql(f"create table if not exists {table} (gram bigint, c bigint) using parquet clustered by (gram) sorted by (gram) into {self.buckets} buckets location '{self.path}/{name}'")
+        return self.spark.table(table)
+
+    def _write(self, rows: DataFrame, lo: int, hi: int) -> str:
+        name = f"run-{lo:06d}-{hi:06d}-{self.buckets}-{uuid.uuid4().hex[:12]}"
+        dealt = rows.select("gram", "c").repartition(self.buckets, "gram")
+        dealt.write.bucketBy(self.buckets, "gram").sortBy("gram").option("path", f"{self.path}/{name}").saveAsTable("windrow_" + name.replace("-", "_"))
+        return name
+
+    def places(self) -> DataFrame:
+        """(key, gram) of all batches, each once."""
+        names = {(m[1], m[2]): m[0] for m in self._folders() if not m[3]}
+        return self.spark.read.schema("key long, gram long").parquet(*(f"{self.path}/{x}" for x in names.values()))
+
+    def add(self, elections: DataFrame) -> DataFrame:
+        """(gram, c): the fingerprints of a batch (key, gram) that have been met twice or more by now, and how often."""
+        earlier = self.runs()
+        batch = earlier[-1][1] + 1 if earlier else 0
+        if self.keep:
+            elections.select("key", "gram").write.parquet(f"{self.path}/places-{batch:06d}-{batch:06d}--{uuid.uuid4().hex[:12]}")
+        met = self._table(self._write(elections.groupBy("gram").agg(F.count("*").alias("c")), batch, batch))
+        for k, (_, _, name) in enumerate(earlier):
+            met = met.join(self._table(name).withColumnRenamed("c", f"c{k}").hint("merge"), "gram", "left")
+        total = reduce(lambda x, k: x + F.coalesce(F.col(f"c{k}"), F.lit(0)), range(len(earlier)), F.col("c"))
+        found = settled(met.select("gram", total.alias("c")).where("c > 1"))
+        self.compact()
+        return found
+
+    def compact(self, fan: int = FAN) -> None:
+        """Merge the last runs into one, while ``fan`` of them are of like length; a run covers at least as many batches as the next."""
+        while True:
+            runs = self.runs()
+            tail = [r for r in runs if r[1] - r[0] <= runs[-1][1] - runs[-1][0]] if runs else []
+            if len(tail) < fan:
+                return
+            rows = reduce(DataFrame.unionByName, (self._table(name) for _, _, name in tail))
+            self._write(rows.groupBy("gram").agg(F.sum("c").alias("c")), tail[0][0], tail[-1][1])
+            for _, _, name in tail:
+                self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists windrow_{name.replace('-', '_')}")
+        delete(self.spark, f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        """Delete the index."""
+        for m in self._folders():
+            self._drop(m[0])
+        delete(self.spark, self.path)
+
+
+def _verified(docs: DataFrame, places: DataFrame, twice: DataFrame, window: int, gram: int) -> DataFrame:
+    """(key, places array<binary>) of a table (doc_id, text, key): the starts, as 32-bit numbers, of windows that repeat, given
+    the documents' elections and the grams (gram, c) elected twice or more."""
     n = partitions(docs.sparkSession)
-    found = settled(_elections(docs, window, gram))
-    # a table of its own, so that both sides of the join are dealt out afresh and a hot gram's rows can be split
-    twice = settled(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"))
     all_ = twice.agg(F.sum("c").alias("c")).first()["c"] or 0
     # no more than 4 * n grams have more than that share
     hot = np.sort(np.array([r["gram"] for r in twice.where(F.col("c") > max(1000, all_ / (4 * n))).select("gram").collect()], np.int64).view(np.uint64))
-    sought = found.join(twice.select("gram"), "gram", "left_semi").groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    sought = places.join(twice.select("gram"), "gram", "left_semi").groupBy("key").agg(F.collect_set("gram").alias("grams"))
     # doc_id goes along unused: with it, the texts are dealt out as the caller deals them out, once for both
     held = docs.join(sought, "key").select("key", "text", "grams", "doc_id")
-    return _merged(_runs(held, n, hot, window, gram), n).groupBy("key").agg(F.collect_list("places").alias("places"))
+    return _merged(_runs(held, PER_TASK * n, hot, window, gram), n).groupBy("key").agg(F.collect_list("places").alias("places"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key); rows equal in doc_id and text have one key."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """(key, places array<binary>) of a table (doc_id, text, key), which goes through an index of its own, batch by batch."""
+    spark = docs.sparkSession
+    found = settled(_elections(docs, window, gram))
+    index = WindowIndex(spark, f"{folder(spark)}/windrow-index-{uuid.uuid4().hex}", keep=False)
+    met = [index.add(found.where(F.pmod("key", F.lit(batches)) == k)) for k in range(batches)]
+    index.drop()
+    # a gram's last batch has its whole count; a table of its own, so that both sides of the join to come are dealt out afresh
+    twice = settled(reduce(DataFrame.unionByName, met).groupBy("gram").agg(F.max("c").alias("c")))
+    for m in met:
+        release(m)
+    return _verified(docs, found, twice, window, gram)
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row.
 
     A word goes if a window that covers it has a word sequence that also starts anywhere else, in the same document too.
-    A null text has no words; rows that repeat a document repeat its windows, so those go from each; an empty
-    table gives an empty one; other columns are not looked at."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key"))
-    joined = keyed.join(repeats(keyed, window, gram), "key", "left").select("doc_id", "text", "places")
+    A null text has no words; a very long one is read whole; rows that repeat a document repeat its windows, so those go from
+    each; an empty table gives an empty one; other columns are not looked at."""
+    rows = keyed(docs)
+    return _kept(rows.join(repeats(rows, window, gram, batches), "key", "left"), window)
+
+
+def incremental(index: WindowIndex, history: DataFrame, batch: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The same of a new batch alone, whose windows are judged on it and on the ``history`` of documents that the index has; the
+    batch is added to the index.  Of the history only documents with a fingerprint that the batch repeats are read again."""
+    rows = keyed(batch)
+    twice = index.add(settled(_elections(rows, window, gram)))
+    return _kept(rows.join(_verified(keyed(history).unionByName(rows), index.places(), twice, window, gram), "key", "left"), window)
+
+
+def _kept(rows: DataFrame, window: int) -> DataFrame:
+    joined = rows.select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -235,58 +375,3 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string())))], ["doc_id", "n_words", "n_removed", "kept"])
 
     return lean(joined).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
-
-
-class WindowIndex:
-    """Windows of earlier batches, as sorted immutable runs in a folder that all machines share.
-
-    ``add`` tells which windows of a batch an earlier batch already has, then appends the batch's own as a run; ``compact``
-    merges all runs into one.  A run is sorted by hash within ranges of it, so a batch is merge-joined with each."""
-
-    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW):
-        self.spark, self.path, self.window = spark, path.rstrip("/"), window
-
-    def _windows(self, docs: DataFrame) -> DataFrame:
-        window = self.window
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, b in blocks(batch.column(1)):
-                    at, _ = whole(b.first, window)
-                    owner = np.searchsorted(b.first, at, "right") - 1
-                    ids = batch.column(0).slice(lo, hi - lo).take(pa.array(owner))
-                    one, two = (grams(b.word_hashes(x), window, y)[at].view(np.int64) for x, y in zip(BASES, BASES[1:], strict=False))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(at - b.first[owner]), pa.array(one), pa.array(two)], ["doc_id", "at", "a", "b"])
-
-        return lean(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, at long, a long, b long")
-
-    def runs(self) -> list[str]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(str(x.getPath()) for x in fs.listStatus(where)) if fs.exists(where) else []
-
-    def history(self) -> DataFrame | None:
-        runs = self.runs()
-        return self.spark.read.parquet(*runs) if runs else None
-
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{self.path}/run-{len(self.runs()):05d}-{uuid.uuid4().hex[:8]}"
-        rows.repartitionByRange("a").sortWithinPartitions("a", "b").write.parquet(path)
-        return path
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, at): windows of the batch that an earlier batch has.  Both halves of the hash are compared: the first
-        finds, the second verifies."""
-        batch, history = settled(self._windows(docs)), self.history()
-        found = batch.select("doc_id", "at").limit(0) if history is None else batch.join(history, ["a", "b"], "left_semi").select("doc_id", "at")
-        found = settled(found)
-        self._write(batch.select("a", "b").distinct())
-        return found
-
-    def compact(self) -> None:
-        runs = self.runs()
-        if len(runs) > 1:
-            self._write(self.history().distinct())
-            for r in runs:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(r)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
