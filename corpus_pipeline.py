@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm import bpe, lines, mixing, quality, simhash
-from windrow.llm.shared import folder, table
+from windrow.llm.shared import delete, expire, folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,12 +16,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals, but for one word at most, go; documents stay."""
-    return lines.deduplicated(docs, **lines.EVERY).drop("__lines")
+    return lines.deduplicated(docs).drop("__lines")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least doc_id stays; shingles of five words, for want of a contract."""
-    return simhash.keep_first(docs, width=5)
+    """Of each group of near-duplicates the document of least doc_id stays: shingles of five words, a similarity of 0.8 or more."""
+    return simhash.keep_first(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +45,20 @@ STAGES = [
     ("BPE encoding and decoding", bpe_encoding),
 ]
 
-#: Posteriors, fingerprints and merges are beyond SQL; tests compare each stage with a brute-force version.
+#: Posteriors, fingerprints and merges are beyond SQL; tests/llm compares run() with a chain of brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents; each stage's rows are written as Parquet in the shared folder and read again."""
+    """The stages over the table documents; each stage's rows are written as Parquet in the shared folder and read again.  A stage's
+    table goes when the next one has been written, the last one with the session."""
     import uuid
 
     docs, root = table(spark, sf_dir, "documents"), f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    expire(spark, root)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{root}/{k}")
         docs = spark.read.parquet(path)
+        if k:
+            delete(spark, f"{root}/{k - 1}")
     return docs
