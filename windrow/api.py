@@ -60,14 +60,15 @@ class Engine:
         return normalise.bars(bars.daily(self.spark, self.folder))
 
     def resolve(self, query: str) -> str:
-        found = normalise.resolve(bars.profiles(self.spark, self.folder), query).orderBy("match_rank", "symbol").limit(2).collect()
-        if not found or (len(found) == 2 and found[0]["match_rank"] == found[1]["match_rank"]):
+        found = normalise.resolve(bars.profiles(self.spark, self.folder), query, self.bars()).collect()
+        if not found:
             raise ValueError(f"{query!r} names no symbol, or more than one")
         return found[0]["symbol"]
 
-    def search(self, request: SearchRequest) -> DataFrame:
-        """symbol, start_date, end_date, distance, score, has_forward, by rank."""
-        if (hit := self.cache.get(request)) is not None:
+    def search(self, request: SearchRequest, past: bool = False) -> DataFrame:
+        """symbol, start_date, end_date, distance, score, has_forward, by rank; of ``past`` windows, which end before the asked one
+        begins, alone."""
+        if (hit := self.cache.get((request, past))) is not None:
             return hit
         all_ = windows.encoded(windows.sliding(self.bars(), request.window_size))
         code = self.resolve(request.symbol)
@@ -75,6 +76,8 @@ class Engine:
         parts = ("price_path", "candle_geometry", "volume_liquidity")
         one = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("symbol", "start_date", "end_date", *parts)))
         pairs = all_.crossJoin(F.broadcast(one))  # one row
+        if past:
+            pairs = pairs.where("end_date < q_start_date")
         shared = search.overlap_days(F.col("start_date"), F.col("end_date"), F.col("q_start_date"), F.col("q_end_date"))
         own = F.col("symbol") == F.col("q_symbol") if request.scope == "all" else F.lit(True)
         near = pairs.where(~(own & (shared > search.OVERLAP_DAYS))).withColumn("l2", search.euclid(F.concat(*parts), F.concat(*(f"q_{p}" for p in parts)))).orderBy("l2", "symbol", "end_date").limit(request.recall_k)
@@ -84,16 +87,15 @@ class Engine:
         known = self.forward().where(F.col("horizon") == 10).select("symbol", F.col("date").alias("end_date"), F.col("return_pct").isNotNull().alias("has_forward"))
         picked = known.join(F.broadcast(scored.select("symbol", "start_date", "end_date", "distance", "score")), ["symbol", "end_date"])  # recall_k rows
         result = search.ranked(picked.select("symbol", "start_date", "end_date", "distance", "score", "has_forward"), request.top_k)
-        self.cache.put(request, result)
+        self.cache.put((request, past), result)
         return result
 
     def forward(self) -> DataFrame:
         return search.forward(bars.daily(self.spark, self.folder))
 
     def predict(self, request: SearchRequest) -> DataFrame:
-        """By horizon, the analogues' vote; only windows that end before the asked one begins count."""
-        before = F.col("end_date") < F.lit(request.end_date).cast("date")
-        found = self.search(request).where(before).select("symbol", F.col("end_date").alias("date"), F.col("score").alias("similarity"))
+        """By horizon, the analogues' vote; only windows that end before the asked one begins are looked for."""
+        found = self.search(request, past=True).select("symbol", F.col("end_date").alias("date"), F.col("score").alias("similarity"))
         labels = factors.labels(bars.daily(self.spark, self.folder), (1, 2), request.end_date)
         return factors.vote(labels.join(F.broadcast(found), ["symbol", "date"]).withColumn("factor_similarity", F.lit(1.0)))  # top_k rows
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, flag, positive
 from ..functions.rolling import last, lag_null, ordered, std_of, streak_of
+from .normalise import main_board
 
 ABNORMAL = 3
 
@@ -40,7 +41,8 @@ def labels(bars: DataFrame, horizons: tuple[int, ...], as_of: str | None = None)
 
 
 def snapshot(bars: DataFrame, as_of: str, n: int = 20) -> DataFrame:
-    """The factors of each symbol at its last bar up to ``as_of``, over its last ``n`` bars."""
+    """The factors of each symbol at its last bar up to ``as_of``, over its last ``n`` bars; trends of the market and the industry are 0
+    where the bars have no such columns."""
     b = bars.where(F.col("date") <= F.lit(as_of).cast("date"))
     c, pc = F.col("close"), lag_null("close")
     b = b.withColumn("back", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("date").desc()))).where(F.col("back") <= n)
@@ -67,7 +69,7 @@ def snapshot(bars: DataFrame, as_of: str, n: int = 20) -> DataFrame:
         "range_pct": 100 * (F.col("high") - F.col("low")) / c, "atr_14_pct": 100 * F.avg("tr").over(last(14)) / c,
         "obv_trend_5": F.coalesce(F.sum("sv").over(last(4)) / F.nullif(F.sum(F.abs("volume")).over(last(5)), F.lit(0.0)), F.lit(0.0)),
         "mfi_14": F.when(neg < 1e-9, F.when(pos > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + pos / F.greatest(neg, F.lit(1e-9)))),
-        "candle_body_ratio": (c - F.col("open")) / spread, "upper_shadow_ratio": (F.col("high") - F.greatest("open", "close")) / spread,
+        "candle_body_ratio": F.abs(c - F.col("open")) / spread, "upper_shadow_ratio": (F.col("high") - F.greatest("open", "close")) / spread,
         "lower_shadow_ratio": (F.least("open", "close") - F.col("low")) / spread, "close_pos": (c - F.col("low")) / spread,
     })
     f = b.where("back = 1").withColumn("limit_threshold_pct", thr)
@@ -75,13 +77,17 @@ def snapshot(bars: DataFrame, as_of: str, n: int = 20) -> DataFrame:
     reversal = positive(F.col("r1")) / 10 + F.col("upper_shadow_ratio") + (1 - F.col("close_pos")) + 0.1 * (positive(F.col("volume_zscore")) + positive(F.col("amount_zscore")))
     edge = F.greatest(thr - 0.5, F.lit(1.0))
     f = f.withColumn("large_order_fire_score", fire).withColumn("intraday_reversal_score", reversal)
+    context = lambda name: F.coalesce(F.col(name), F.lit(0.0)) if name in bars.columns else F.lit(0.0)
+    f = f.withColumns({"market_trend": context("market_trend_5"), "industry_trend": context("industry_return_trend_5")}).withColumn("strength", F.col("industry_trend") - F.col("market_trend"))
+    abnormal = [F.col("amount_zscore") >= 1, F.col("volume_zscore") >= 1, F.col("turnover_zscore") >= 1, F.col("range_pct") >= 3, F.col("volatility_10d_pct") >= 2.5, F.col("large_order_fire_score") >= 1.5]
     return f.select(
         "symbol", "date", F.col("r1").alias("recent_return_1d_pct"), F.col("r3").alias("recent_return_3d_pct"), F.col("r5").alias("recent_return_5d_pct"),
         "volatility_5d_pct", "volatility_10d_pct", "volume_zscore", "amount_zscore", "turnover_zscore", "volume_trend_ratio", "amount_trend_ratio", "turnover_trend_ratio", "range_pct", "atr_14_pct",
         "obv_trend_5", "mfi_14", "candle_body_ratio", "upper_shadow_ratio", "lower_shadow_ratio", "large_order_fire_score", "intraday_reversal_score",
-        (0.45 * F.col("large_order_fire_score") + F.col("volatility_10d_pct") / 10 + 0.20 * F.least("up_days", F.lit(3.0)) + 0.10 * positive(F.col("intraday_reversal_score"))).alias("short_hot_score"),
+        (0.45 * F.col("large_order_fire_score") + 0.20 * positive(F.col("strength")) + F.col("volatility_10d_pct") / 10 + 0.20 * F.least("limit_days", F.lit(3.0)) + 0.10 * positive(F.col("intraday_reversal_score"))).alias("short_hot_score"),
         "limit_threshold_pct", flag(F.col("r1") >= edge).alias("limit_up_like"), flag(F.col("r1") <= -edge).alias("limit_down_like"), flag(F.col("r1") >= 5).alias("big_up"), flag(F.col("r1") <= -5).alias("big_down"),
-        F.col("up_days").alias("consecutive_up_days"), F.col("limit_days").alias("consecutive_limit_up_days"),
+        F.col("market_trend").alias("market_trend_5"), F.col("industry_trend").alias("industry_trend_5"), F.col("strength").alias("industry_relative_strength_5"),
+        flag(sum(map(flag, abnormal), F.lit(0.0)) >= 3).alias("short_candidate"), flag(main_board(F.col("symbol"))).alias("main_board_only"), F.col("up_days").alias("consecutive_up_days"), F.col("limit_days").alias("consecutive_limit_up_days"),
         flag(F.signum(F.col("r5")) * F.signum(F.col("volume_trend_ratio") - 1) < 0).alias("price_volume_divergence"),
         F.when(F.col("limit_days") <= 0, "none").when(F.col("limit_days") == 1, "first_board").when(F.col("limit_days") == 2, "second_board").otherwise("multi_board").alias("board_chain_stage"),
     )
@@ -113,9 +119,9 @@ def scenarios(samples: DataFrame) -> DataFrame:
 
 
 def blended(analogue: Column, model: Column, n: Column) -> tuple[Column, Column]:
-    """(probability, confidence): 0.6 analogues and 0.4 model where there is one."""
+    """(probability, confidence): 0.6 analogues and 0.4 model where there is one; few samples or an even chance make it low."""
     p = F.when(model.isNull(), analogue).otherwise(0.6 * analogue + 0.4 * model)
-    tier = F.when(n < 20, "low").when((n < 60) | model.isNull() | (n < 100), "medium").otherwise("high")
+    tier = F.when(n < 20, "insufficient").when((n < 60) | p.between(0.45, 0.55), "low").when(model.isNotNull() & (n >= 100), "high").otherwise("medium")
     return p, tier
 
 

@@ -167,10 +167,12 @@ def board_structure(rows: DataFrame) -> DataFrame:
     )
 
 
-def cross_market(indexes: DataFrame, lag: int = 0, spans: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def cross_market(indexes: DataFrame, lag: int = 0, spans: tuple[int, ...] = (1, 3, 5), names: list[str] | None = None) -> DataFrame:
     """date and, by index, its changes over some rows, taken ``lag`` rows late; dates of any index."""
     w = Window.partitionBy("index_symbol").orderBy("date")
     late = indexes.withColumn("c", F.lag("close", lag).over(w) if lag else F.col("close"))
     change = {k: 100 * (F.col("c") / F.nullif(F.lag("c", k).over(w), F.lit(0.0)) - 1) for k in spans}
     long = late.select("date", F.regexp_replace(F.lower("index_symbol"), " ", "_").alias("index_symbol"), *(x.alias(f"ret_{k}") for k, x in change.items()))
-    return long.groupBy("date").pivot("index_symbol", ["africa", "america", "asia"]).agg(*(F.max(f"ret_{k}").alias(f"ret_{k}") for k in spans))
+    # the indexes are few and named by the caller's table; without names, their sorted list is read first
+    names = names or sorted(r[0] for r in long.select("index_symbol").distinct().collect())
+    return long.groupBy("date").pivot("index_symbol", names).agg(*(F.max(f"ret_{k}").alias(f"ret_{k}") for k in spans))

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.rolling import lag_null, ordered
 
 MAIN_BOARD = ("600", "601", "603", "605", "000", "001", "002", "003")
-#: Exchange prefixes.
-EXCHANGES = {"bj": ("920", "8", "4"), "sh": ("6", "9", "5", "11"), "sz": ("0", "2", "3", "1")}
+# Three-digit prefixes of exchanges; all other symbols are sz.
+EXCHANGES = {
+    "sh": "600 601 603 605 688 689 900 730 732 733 734 735 736".split(),
+    "bj": "430 431 830 831 832 833 834 835 836 837 838 839 870 871 872 873 899 920".split(),
+}
+# Symbols that suggestions prefer, in this order.
+PREFERRED = "000333 600036 600900 601166 300750 002594".split()
 
 
 def bars(df: DataFrame) -> DataFrame:
@@ -32,11 +37,8 @@ def symbol(raw: Column) -> Column:
 
 
 def exchange(code: Column) -> Column:
-    out = F.lit("sz")
-    for name, prefixes in reversed(EXCHANGES.items()):
-        for p in prefixes:
-            out = F.when(code.startswith(p), F.lit(name)).otherwise(out)
-    return out
+    head = F.left(code, F.lit(3))
+    return F.when(head.isin(EXCHANGES["sh"]), "sh").when(head.isin(EXCHANGES["bj"]), "bj").otherwise("sz")
 
 
 def main_board(code: Column) -> Column:
@@ -74,20 +76,48 @@ def complete(df: DataFrame, least: int = 120) -> DataFrame:
     return df.groupBy("symbol").agg(F.count("*").alias("n_rows")).withColumn("is_complete", F.col("n_rows") >= max(least, 60))
 
 
-def resolve(universe: DataFrame, query: str) -> DataFrame:
-    """The symbols that a query names, by how well: exact code, exact name, part of a name."""
-    q = F.lit(query.strip().lower())
-    name = F.lower("name")
-    rank = F.when(F.col("symbol") == symbol(F.lit(query)), 0).when(name == q, 1).when(name.contains(q), 2)
-    return universe.select("symbol", "name", rank.alias("match_rank")).where("match_rank is not null")
-
-
-def choices(universe: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Suggestions: by code's rank, name's rank, then code."""
-    q = F.lit(query.strip().lower())
-    rank = lambda x: F.when(x == q, 0).when(x.startswith(q), 1).when(x.contains(q), 2).otherwise(3)
-    ranked = universe.select("symbol", "name", rank(F.col("symbol")).alias("symbol_rank"), rank(F.lower("name")).alias("name_rank"))
-    return ranked.where("least(symbol_rank, name_rank) < 3").orderBy(F.least("symbol_rank", "name_rank"), "symbol_rank", "name_rank", "symbol").limit(limit)
+def _asked(query: str) -> str:
+    q = query.strip()
+    return q.zfill(6) if q.isdigit() else q
+
+
+def resolve(universe: DataFrame, query: str, cached: DataFrame | None = None) -> DataFrame:
+    """(symbol, name, match_type): the one symbol that a query names, by its code, its name, or a part of a name that no other has;
+    digits that name none stand for themselves.  Symbols are looked for among the ``cached`` ones, if the universe has any."""
+    q = _asked(query)
+    if not q:
+        return universe.select("symbol", "name", F.lit("").alias("match_type")).limit(0)
+    known = universe.select("symbol", F.coalesce("name", F.lit("")).alias("name"))
+    if cached is not None:
+        some = known.join(cached.select("symbol").distinct(), "symbol", "left_semi").withColumn("own", F.lit(True))
+        known = known.join(some.select("symbol", "own"), "symbol", "left").withColumn("any", F.max("own").over(Window.partitionBy())).where("own or any is null")  # a row a symbol
+    low = F.lower("name")
+    kind = F.when(F.col("symbol") == q, "symbol").when(low == q.lower(), "name").when(low.contains(q.lower()), "name_partial")
+    found = known.select("symbol", "name", kind.alias("match_type"), F.when(kind == "symbol", 0).when(kind == "name", 1).otherwise(2).alias("rank")).where("match_type is not null")
+    same = F.count("*").over(Window.partitionBy("rank"))  # few rows match
+    # a name that is equal is a part too, and several of them are none
+    parts = found.where("rank > 0").agg(F.count("*").alias("n"))
+    one = found.withColumn("same", same).crossJoin(F.broadcast(parts)).where((F.col("rank") == 0) | ((F.col("rank") == 1) & (F.col("same") == 1)) | ((F.col("rank") == 2) & (F.col("n") == 1)))
+    best = one.orderBy("rank", "symbol").limit(1).select("symbol", F.nullif("name", F.lit("")).alias("name"), "match_type")
+    if not q.isdigit():
+        return best
+    own = universe.sparkSession.range(1).select(F.lit(q).alias("symbol"), F.lit(None).cast("string").alias("name"), F.lit("symbol").alias("match_type"))
+    return best.unionByName(own.join(best.select(F.lit(1).alias("x")), F.lit(True), "left_anti"))
+
+
+def choices(universe: DataFrame, query: str, limit: int = 12, cached: DataFrame | None = None) -> DataFrame:
+    """Suggestions: by how well the code matches, how well the name does, the preferred ones, then the code.  ``cached`` symbols
+    that the universe lacks come without a name, and others are left out."""
+    q = _asked(query)
+    rows = universe.select("symbol", "name")
+    if cached is not None:
+        rows = cached.select("symbol").distinct().join(rows, "symbol", "left").select("symbol", "name")
+    name = F.lower(F.coalesce("name", F.lit("")))
+    code = F.when(F.col("symbol") == q, 0).when(F.col("symbol").startswith(q), 1).otherwise(2)
+    named = F.when(name.startswith(q.lower()), 0).when(name.contains(q.lower()), 1).otherwise(2)
+    liked = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PREFERRED)), F.col("symbol")), F.lit(0)) - 1, F.lit(len(PREFERRED)))
+    ranked = rows.select("symbol", "name", code.alias("symbol_rank"), named.alias("name_rank"), liked.cast("int").alias("preferred_rank"))
+    return ranked.where(F.lit(q == "") | F.col("symbol").contains(q) | name.contains(q.lower())).orderBy(*(["symbol_rank", "name_rank"] if q else []), "preferred_rank", "symbol").limit(max(limit, 1))
 
 
 def bounds(df: DataFrame, time: str = "date") -> DataFrame:

@@ -7,7 +7,6 @@ that the same text can be run by any SQL engine with windows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,7 +140,7 @@ def layers(t: Text) -> list[dict[str, str]]:
         "adx_14": t.mean("dx", 14), "former_leader_memory_120": f"{t.clip(t.lag('peak_120') + ' / 5', 0, 1.5)} + {t.clip('former_freq * 8', 0, 2)}", "leader_faith_decay_60": t.mean("high_board_big_loss", 60), "recognizable_backup": f"stock_personality_score * near_limit_close * {f('limit_up_streak <= 1')}",
         "highlight_score": f"stock_personality_score + {t.clip('ma_gap_20 * 10', -2, 3)} + close_position + weak_to_strong_daily * 1.5 + new_high_breakout_quality * 0.5 - failed_limit_freq_60", "oscillation_breakout_signal": f"quant_oscillation_score_10 * {f('ret_1 >= 3')} * close_position * {t.clip('volume_to_mean_20', 0, 3)}",
         "consolidation_breakout_20": f"{f('close >= hh_20')} * consolidation_days_20 * least(volume_to_mean_20, 5)",
-        "active_flags": " + ".join(f"(case when {c} then 1 else 0 end)" for c in ("turnover >= 3", "amount_z_20 >= 1", "volume_z_20 >= 1", "range_pct >= 3", "ret_std_10 >= 2.5", "atr_14_pct >= 2.5", "abs(ret_1) >= 5")),
+        "active_flags": " + ".join(f"(case when {c} then 1 else 0 end)" for c in ("turnover >= 3", "amount >= 200000000 or amount_z_20 >= 1", "volume_z_20 >= 1", "range_pct >= 3 or ret_std_10 >= 2.5 or atr_14_pct >= 2.5", "money_flow_fire >= 1.5", "volume_to_mean_20 >= 1.5", "amount_to_mean_20 >= 1.5")),
     }
     seven = {
         "former_leader_recall": f"former_leader_memory_120 * {f('ret_1 >= 5 or near_limit_close > 0.5')} * close_position * {t.clip('volume_to_mean_20', 0, 3)} / 3", "leader_faith_decay_pressure": "leader_faith_decay_60 * (limit_up_streak + near_limit_close + failed_limit_up)",
@@ -162,10 +161,7 @@ def recursions(bars: DataFrame) -> DataFrame:
     """symbol, date, macd_hist, macd_signal, kdj_k, kdj_d, kdj_j: order-dependent recursions, one symbol's history at a time."""
 
     def ema(x: np.ndarray, span: int) -> np.ndarray:
-        a, out = 2 / (span + 1), np.array(x, float)
-        for i in range(1, len(out)):
-            out[i] = x[i] * a + out[i - 1] * (1 - a)
-        return out
+        return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
@@ -174,10 +170,9 @@ def recursions(bars: DataFrame) -> DataFrame:
         signal, scale = ema(dif, 9), np.maximum(c, 1e-6)
         low, high = (getattr(pdf[k].rolling(9, min_periods=1), f)().to_numpy() for k, f in (("low", "min"), ("high", "max")))
         rsv = 100 * (c - low) / np.maximum(high - low, 1e-6)
-        k, d = np.full(len(c), 50.0), np.full(len(c), 50.0)
-        for i in range(1, len(c)):
-            k[i] = k[i - 1] * 2 / 3 + rsv[i] / 3
-            d[i] = d[i - 1] * 2 / 3 + k[i] / 3
+        third = lambda x: pd.Series(np.append(50.0, x[1:])).ewm(alpha=1 / 3, adjust=False).mean().to_numpy()  # noqa: E731  both begin at 50
+        k = third(rsv)
+        d = third(k)
         return pd.DataFrame({"symbol": pdf["symbol"], "date": pdf["date"], "macd_hist": 100 * (dif - signal) / scale, "macd_signal": 100 * signal / scale, "kdj_k": k, "kdj_d": d, "kdj_j": 3 * k - 2 * d})
 
     return bars.select("symbol", "date", "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, date date, macd_hist double, macd_signal double, kdj_k double, kdj_d double, kdj_j double")
@@ -203,7 +198,7 @@ def cross_layers(t: Text) -> list[dict[str, str]]:
     two = {"cs_hot_mean": mean("hot"), "cs_hot_concentration_rank": pct_rank("hot"), "hot_p90": (f"percentile(hot, 0.9) over ({_DAY})" if t.spark else f"quantile_cont(hot, 0.9) over ({_DAY})")}
     three = {"cs_hot_top_decile_mean": f"avg(case when hot >= hot_p90 then hot end) over ({_DAY})"}
     four = {
-        "cs_emotion_score": "2 * cs_limit_up_rate + cs_big_up_rate + cs_near_limit_rate + 0.1 * cs_hot_top_decile_mean - 2 * cs_limit_down_rate - cs_big_down_rate - 0.5 * cs_failed_limit_up_rate", "rel_ret_1_to_market": "ret_1 - cs_market_mean_ret_1", "rel_range_to_market": "range_pct - cs_market_mean_range",
+        "cs_emotion_score": "2 * cs_limit_up_rate + cs_big_up_rate + cs_near_limit_rate + 0.1 * cs_hot_top_decile_mean - 2 * cs_limit_down_rate - cs_big_down_rate - 0.5 * cs_failed_limit_up_rate", "rel_ret_1_to_market": "ret_1 - cs_market_mean_ret_1", "rel_range_to_market": "range_pct / greatest(abs(cs_market_mean_range), 0.000001)",
         "volume_z_x_cs_ret_rank": "volume_z_20 * cs_ret_1_rank", "close_pos_x_cs_range_rank": "close_position * cs_range_rank",
     }
     return [one, two, three, four]
@@ -214,7 +209,3 @@ def cross_section(rows: DataFrame) -> DataFrame:
         rows = rows.withColumns({k: F.expr(x) for k, x in layer.items()})
     return rows
 
-
-def batches(names: list[str], n: int) -> Iterator[list[str]]:
-    for i in range(0, len(names), n):
-        yield names[i : i + n]

@@ -40,8 +40,8 @@ def symbol_normalize(spark: SparkSession, d: str) -> DataFrame:
     return B.read(spark, d, "supplier").select(raw.alias("raw")).distinct().select("raw", N.symbol(F.col("raw")).alias("symbol"))
 
 
-@query("""select symbol, case when starts_with(symbol, '920') or starts_with(symbol, '8') or starts_with(symbol, '4') then 'bj'
-    when starts_with(symbol, '6') or starts_with(symbol, '9') or starts_with(symbol, '5') or starts_with(symbol, '11') then 'sh' else 'sz' end as exchange
+@query("""select symbol, case when left(symbol, 3) in ('600', '601', '603', '605', '688', '689', '900', '730', '732', '733', '734', '735', '736') then 'sh'
+    when left(symbol, 3) between '830' and '839' or left(symbol, 3) between '870' and '873' or left(symbol, 3) in ('430', '431', '899', '920') then 'bj' else 'sz' end as exchange
     from (select distinct lpad(cast(l_partkey * 7919 % 1000000 as varchar), 6, '0') as symbol from lineitem)""")
 def exchange_infer(spark: SparkSession, d: str) -> DataFrame:
     code = F.lpad((F.col("l_partkey") * 7919 % 1000000).cast("string"), 6, "0")
@@ -145,17 +145,22 @@ def set_intersection(spark: SparkSession, d: str) -> DataFrame:
     return at("1996-01-01", "1996-02-15").intersect(at("1997-01-01", "1997-02-15"))
 
 
-@query("""select symbol, name, r as match_rank from (select symbol, name, case when symbol = '000007' then 0 when lower(name) = 'supplier#7' then 1 when contains(lower(name), 'supplier#7') then 2 end as r from profiles) where r is not null""")
+@query("""with m as (select symbol, name from profiles where symbol in (select symbol from bars) and contains(lower(name), 'supplier#00000007'))
+    select min(symbol) as symbol, min(name) as name, 'name_partial' as match_type from m having count(*) = 1 and max(lower(name)) <> 'supplier#00000007'
+    union all select symbol, name, 'symbol' from profiles where symbol = '000007' union all select '999123', null, 'symbol' where '999123' not in (select symbol from profiles)""")
 def symbol_resolve(spark: SparkSession, d: str) -> DataFrame:
-    found = N.resolve(B.profiles(spark, d), "Supplier#7")
-    return found
+    """What a part of a name, a short code and an unknown code name."""
+    known, cached = B.profiles(spark, d), B.daily(spark, d).select("symbol")
+    return N.resolve(known, "Supplier#00000007", cached).unionByName(N.resolve(known, " 7 ", cached)).unionByName(N.resolve(known, "999123", cached))
 
 
-@query("""with r as (select symbol, name, case when symbol = '00001' then 0 when starts_with(symbol, '00001') then 1 when contains(symbol, '00001') then 2 else 3 end as symbol_rank,
-    case when lower(name) = '00001' then 0 when starts_with(lower(name), '00001') then 1 when contains(lower(name), '00001') then 2 else 3 end as name_rank from profiles)
-    select * from r where least(symbol_rank, name_rank) < 3 order by least(symbol_rank, name_rank), symbol_rank, name_rank, symbol limit 10""")
+@query("""with c as (select b.symbol, name from (select distinct symbol from bars) b left join profiles p using (symbol)), r as (select symbol, name,
+    case when symbol = '000012' then 0 when starts_with(symbol, '000012') then 1 else 2 end as symbol_rank,
+    case when starts_with(lower(name), '000012') then 0 when contains(lower(name), '000012') then 1 else 2 end as name_rank,
+    case symbol when '000333' then 0 when '600036' then 1 when '600900' then 2 when '601166' then 3 when '300750' then 4 when '002594' then 5 else 6 end as preferred_rank from c)
+    select * from r where contains(symbol, '000012') or contains(lower(name), '000012') order by symbol_rank, name_rank, preferred_rank, symbol limit 12""")
 def symbol_choices(spark: SparkSession, d: str) -> DataFrame:
-    return N.choices(B.profiles(spark, d), "00001")
+    return N.choices(B.profiles(spark, d), "12", cached=B.daily(spark, d))
 
 
 @query("select min(date) as first, max(date) as last, count(*) as n_rows, count(distinct symbol) as n_symbols from bars")

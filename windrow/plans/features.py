@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import market as M
+from ..operators import pressure as R
 from ..operators import probe as P
 from ..sources import bars as B
+from . import markets as _markets  # noqa: F401  whose views come first
 from .registry import VIEWS, query, rounded
 from .similarity import _r
 
@@ -79,3 +82,53 @@ def macd(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_REC} select symbol, date, {_r('k', 'd').replace('as k', 'as kdj_k').replace('as d', 'as kdj_d')}, round(3 * k - 2 * d, 6) as kdj_j from e")
 def kdj(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.recursions(B.daily(spark, d)).select("symbol", "date", "kdj_k", "kdj_d", "kdj_j"))
+
+
+VIEWS["rb"] = """select date, r, p, u, f, b, sum(r) over (order by date rows between 3 preceding and 1 preceding) as r3 from
+    (select date, avg(ret_1) as r, avg((ret_1 > 0)::int) as p, avg(limit_up_like) as u, avg(failed_limit_up) as f, avg(big_down) as b from x3 group by date)"""
+VIEWS["pr"] = """select x.*, e.* exclude (date), st.cycle, st.strong_market_regime as smr, st.weak_market_oversold_regime as wmr, st.seal_rate_80_threshold as seal80, st.collapse_warning_signal as collapse,
+    coalesce((r3 <= -1.5)::int, 0) * (r >= 0.8)::int * (1 - 5 * least(greatest(u, 0), 0.2)) * (1 + 2 * f + b) * (p < 0.65)::int as rebound,
+    1 - cs_market_positive_rate + greatest(-cs_market_mean_ret_1, 0) / 5 + 2 * cs_limit_down_rate as weak, greatest(st.strong_market_regime, (cs_market_mean_ret_1 >= 0.8 and cs_market_positive_rate >= 0.55)::int) as strong,
+    greatest(st.weak_market_oversold_regime, (cs_market_positive_rate <= 0.45 and (market_limit_down_count >= 5 or market_new_low_20_count > market_new_high_20_count))::int) as oversold,
+    (ret_1 >= 3)::int * close_position * (1 + greatest(volume_z_20, 0) / 3) as chase, (cycle >= 3)::int as cyc, (market_limit_up_count >= 40)::int as hotm, greatest(rel_ret_1_to_market, 0) / 10 as lead, (dist_low_20 <= 0.08)::int as low20
+    from x3 x join emo e on x.date = e.date join st3 st on x.date = st.date join rb on x.date = rb.date"""
+_PRESSURES = {
+    "cs_low_price_advantage": "(1 - cs_price_rank) * weak * (greatest(ret_1, 0) / 10 + near_limit_close + close_position)",
+    "cs_weak_market_focus": "weak * cs_hot_concentration_rank * (close_position + near_limit_close)",
+    "cs_stock_leads_index_rebound": "lead * cs_ret_1_rank * weak * close_position",
+    "cs_reversal_day_leader_quality": "(cs_market_mean_ret_1 > 0 and cs_market_positive_rate >= 0.55 and cs_limit_down_rate <= cs_limit_up_rate + 1e-6)::int * cs_ret_1_rank * close_position * (1 + greatest(volume_z_20, 0) / 3)",
+    "cs_emotion_bull_signal": "(cs_market_positive_rate >= 0.55)::int * (cs_limit_up_rate * 2 + cs_big_up_rate + cs_near_limit_rate + cs_hot_top_decile_mean * 0.1) * cs_ret_1_rank",
+    "cs_strong_rebound_not_bottom_risk": "rebound",
+    "market_cycle_failed_pressure": "cyc * market_failed_limit_up_rate * ln(1 + market_broken_board_count)",
+    "market_cycle_broken_pressure": "cyc * ln(1 + market_broken_board_count) * (1 + greatest(market_emotion_score, 0) / 50)",
+    "market_cycle_seal_pressure": "cyc * market_seal_rate * (1 + greatest(market_emotion_score, 0) / 50)",
+    "market_monday_hot_new_high_risk": "(day_of_week_cos >= 0.9)::int * ln(1 + market_new_high_20_count) * hotm",
+    "market_hot_cycle_short_pressure": "cyc * hotm * (market_failed_limit_up_rate + greatest(cs_emotion_score, 0) / 10)",
+    "chase_market_up_alignment": "chase * (strong - oversold)",
+    "strong_market_anti_drop": "strong * (ret_1 >= -1 and rel_ret_1_to_market >= -1)::int * close_position * (1 + daily_amount_300m_gate)",
+    "weak_market_oversold_rebound": "oversold * low20 * (lower_shadow_pct + greatest(ret_1, 0) / 10) * (1 + greatest(volume_z_20, 0) / 3)",
+    "second_board_leader_proxy": "second_board_entry * cs_ret_1_rank * (1 - market_failed_limit_up_rate) * (1 + greatest(market_max_board_height - 2, 0) / 5)",
+    "seal80_second_board_quality": "seal80 * second_board_entry * close_position * (1 + daily_amount_300m_gate + greatest(volume_price_match, 0))",
+    "bull_hotspot_bear_oversold_signal": "(smr - wmr) * (near_limit_close + lead + low20 * lower_shadow_pct)",
+    "money_effect_chase_alignment": "chase * (least(greatest(money_effect_spread_20 / 5, -2), 2) + least(greatest(prev_top20_chase_win_rate - 0.5, -0.5), 0.5))",
+    "collapse_hot_stock_risk": "collapse * (near_limit_close + greatest(hot_exhaustion_score, 0) + greatest(limit_up_streak - 1, 0))",
+    "weak_rebound_money_effect": "oversold * greatest(prev_bottom20_rebound_return, 0) / 5 * (low20 + lower_shadow_pct)",
+}
+
+
+@query("select symbol, date, " + ", ".join(f"round({x}, 6) + 0.0::double as {k}" for k, x in _PRESSURES.items()) + " from pr")
+def cs_pressures(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty columns that tell what a stock's day means under its market's."""
+    emotion = M.emotion(M.ranked_rows(M.board_rows(B.daily(spark, d))))
+    dates = emotion.join(M.structure(emotion), "date")
+    found = R.with_pressures(P.cross_section(P.features(B.daily(spark, d))), dates)
+    return rounded(found.select("symbol", "date", *_PRESSURES))
+
+
+@query("""with g as (select *, turnover >= 3 as a, amount >= 200000000 or amount_z_20 >= 1 as l, range_pct >= 3 or ret_std_10 >= 2.5 or atr_14_pct >= 2.5 as v from f6),
+    s as (select *, (a and l and v)::int as gates, a::int + l::int + (volume_z_20 >= 1)::int + v::int + (money_flow_fire >= 1.5)::int + (volume_to_mean_20 >= 1.5)::int + (amount_to_mean_20 >= 1.5)::int as flags from g),
+    t as (select *, sum(gates) over (partition by symbol order by date rows 2 preceding) + 0.0::double as days, count(*) over (partition by symbol order by date rows 2 preceding) as n, first_value(gates) over (partition by symbol order by date rows 2 preceding) as head from s)
+    select symbol, date, days + (3 - n) * head as short_phase_days_3, (gates = 1 and days + (3 - n) * head >= 2 and flags >= 2)::int::double as active_phase from t""")
+def phase_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows are in an active phase: three gates today, and on two of three days, and two of seven abnormal flags."""
+    return rounded(P.features(B.daily(spark, d)).select("symbol", "date", "short_phase_days_3", "active_phase"))

@@ -52,8 +52,14 @@ def train_standardize(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.standardised(_split(spark, d), USED).drop("label_date", "label"))
 
 
-@query("with l as (" + " union all ".join(f"select year(date) % 4 as chunk, label as y, '{c}' as feature, {c} as x from sp where part = 'fit'" for c in USED) + """), w as (select feature, corr(x, y) as c from l group by 1),
-    p as (select feature, chunk, corr(x, y) as k from l group by 1, 2) select feature, round((0.65 * abs(any_value(c)) + 0.35 * quantile_cont(abs(k), 0.5)) * avg((sign(k) = sign(c))::int), 6) as score from p join w using (feature) group by feature""")
+@query("with s as (select " + ", ".join(f"avg({c}) as m_{c}, case when stddev_samp({c}) < 1e-9 then 1 else stddev_samp({c}) end as s_{c}" for c in USED) + """ from sp where part = 'fit'),
+    o as (select *, row_number() over (order by date, symbol) - 1 as k, count(*) over () as n from sp where part = 'fit'), c as (select *, least(4, greatest(1, n // 2000)) as cs from o),
+    b as (select *, (select count(*) from range(1, 5) t(i) where i <= cs and round_even(n * i / cs, 0) <= k) as chunk from c),
+    l as (""" + " union all ".join(f"select cs, chunk, label as y, '{c}' as feature, ({c} - m_{c}) / s_{c} as x from b, s" for c in USED) + """),
+    w as (select feature, avg(x * y) - avg(x) * avg(y) as cov, (avg(x * y) - avg(x) * avg(y)) / greatest(stddev_samp(y), 1e-6) as g from l group by 1),
+    p as (select feature, (avg(x * y) - avg(x) * avg(y)) / greatest(stddev_samp(y), 1e-6) as s from l where cs > 1 group by feature, chunk having count(*) >= 50),
+    q as (select feature, quantile_disc(abs(s), 0.5) as med, avg((sign(s) = sign(g))::int) as agree from p join w using (feature) group by feature)
+    select feature, round(coalesce((0.65 * abs(g) + 0.35 * med) * (0.5 + 0.5 * agree), abs(g)), 6) as score from w left join q using (feature)""")
 def feature_scores(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.feature_scores(_split(spark, d).where("part = 'fit'"), USED))
 

@@ -127,8 +127,8 @@ def amount_percentile_60(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.structure(_emotion(spark, d)).select("date", F.col("market_amount_percentile_60").alias("amount_percentile")))
 
 
-@query("with l as (select *, lag(close) over (partition by index_symbol order by date) as c from indexes), r as (select date, lower(index_symbol) as s, "
+@query("with l as (select *, lag(close) over (partition by index_symbol order by date) as c from indexes), r as (select date, replace(lower(index_symbol), ' ', '_') as s, "
        + ", ".join(f"100 * (c / nullif(lag(c, {k}) over (partition by index_symbol order by date), 0) - 1) as r{k}" for k in (1, 3, 5)) + " from l) select date, "
-       + ", ".join(f"round(max(r{k}) filter (where s = '{s}'), 6) as {s}_ret_{k}" for s in ("africa", "america", "asia") for k in (1, 3, 5)) + " from r group by date")
+       + ", ".join(f"round(max(r{k}) filter (where s = '{s}'), 6) as {s}_ret_{k}" for s in ("africa", "america", "asia", "europe", "middle_east") for k in (1, 3, 5)) + " from r group by date")
 def cross_market_returns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.cross_market(B.indexes(spark, d), 1))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import context as C
 from ..operators import factors as P
 from ..operators import search as S
 from ..sources import bars as B
 from .registry import VIEWS, query, rounded
-from .similarity import _r
+from .similarity import _r, norm_industry
 
 VIEWS |= {
     "lab": """select symbol, date, h as horizon, d2, case when d2 is not null then 100 * (c2 / nullif(close, 0) - 1) end as return_pct, o2, h2, l2, c2 from
@@ -34,7 +35,7 @@ VIEWS |= {
         coalesce(avg(volume) over w5 / nullif(avg(volume) over wp, 0), 1) as volume_trend_ratio, coalesce(avg(amount) over w5 / nullif(avg(amount) over wp, 0), 1) as amount_trend_ratio,
         coalesce(avg(turnover) over w5 / nullif(avg(turnover) over wp, 0), 1) as turnover_trend_ratio, 100 * (high - low) / close as range_pct, 100 * avg(tr) over w14 / close as atr_14_pct,
         coalesce(sum(sv) over w4 / nullif(sum(abs(volume)) over w5, 0), 0) as obv_trend_5, sum(greatest(mf, 0)) over w14 as pos, sum(greatest(-mf, 0)) over w14 as neg,
-        (close - open) / greatest(high - low, 1e-9) as candle_body_ratio, (high - greatest(open, close)) / greatest(high - low, 1e-9) as upper_shadow_ratio,
+        abs(close - open) / greatest(high - low, 1e-9) as candle_body_ratio, (high - greatest(open, close)) / greatest(high - low, 1e-9) as upper_shadow_ratio,
         (least(open, close) - low) / greatest(high - low, 1e-9) as lower_shadow_ratio, (close - low) / greatest(high - low, 1e-9) as close_pos
         from sn2 window w4 as (partition by symbol order by date rows 3 preceding), w5 as (partition by symbol order by date rows 4 preceding), w10 as (partition by symbol order by date rows 9 preceding),
         w14 as (partition by symbol order by date rows 13 preceding), w20 as (partition by symbol order by date rows 19 preceding), wp as (partition by symbol order by date rows between 9 preceding and 5 preceding)""",
@@ -69,12 +70,18 @@ _SNAP = ("volatility_5d_pct", "volatility_10d_pct", "volume_zscore", "amount_zsc
 
 
 @query(f"""select symbol, date, round(r1, 6) as recent_return_1d_pct, round(r3, 6) as recent_return_3d_pct, round(r5, 6) as recent_return_5d_pct, {_r(*_SNAP)},
-    round(0.45 * large_order_fire_score + volatility_10d_pct / 10 + 0.2 * least(up_days, 3) + 0.1 * greatest(intraday_reversal_score, 0), 6) as short_hot_score, 10.0::double as limit_threshold_pct,
+    round(0.45 * large_order_fire_score + 0.2 * greatest(coalesce(industry_return_trend_5, 0) - coalesce(market_trend_5, 0), 0) + volatility_10d_pct / 10 + 0.2 * least(limit_days, 3) + 0.1 * greatest(intraday_reversal_score, 0), 6) as short_hot_score, 10.0::double as limit_threshold_pct,
     cast(r1 >= 9.5 as int)::double as limit_up_like, cast(r1 <= -9.5 as int)::double as limit_down_like, cast(r1 >= 5 as int)::double as big_up, cast(r1 <= -5 as int)::double as big_down,
     up_days::double as consecutive_up_days, limit_days::double as consecutive_limit_up_days, cast(sign(r5) * sign(volume_trend_ratio - 1) < 0 as int)::double as price_volume_divergence,
-    case when limit_days <= 0 then 'none' when limit_days = 1 then 'first_board' when limit_days = 2 then 'second_board' else 'multi_board' end as board_chain_stage from sn4""")
+    round(coalesce(market_trend_5, 0), 6) as market_trend_5, round(coalesce(industry_return_trend_5, 0), 6) as industry_trend_5, round(coalesce(industry_return_trend_5, 0) - coalesce(market_trend_5, 0), 6) as industry_relative_strength_5,
+    cast((amount_zscore >= 1)::int + (volume_zscore >= 1)::int + (turnover_zscore >= 1)::int + (range_pct >= 3)::int + (volatility_10d_pct >= 2.5)::int + (large_order_fire_score >= 1.5)::int >= 3 as int)::double as short_candidate,
+    cast(left(symbol, 3) in ('600', '601', '603', '605', '000', '001', '002', '003') as int)::double as main_board_only,
+    case when limit_days <= 0 then 'none' when limit_days = 1 then 'first_board' when limit_days = 2 then 'second_board' else 'multi_board' end as board_chain_stage
+    from sn4 left join (select date, market_trend_5 from market) using (date) left join profiles using (symbol) left join (select date, industry, industry_return_trend_5 from indctx) using (date, industry)""")
 def factor_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.snapshot(B.daily(spark, d), "1999-06-30"))
+    bars = B.daily(spark, d).join(B.profiles(spark, d).select("symbol", "industry"), "symbol", "left")
+    market, industry = C.market(B.indexes(spark, d)).select("date", "market_trend_5"), C.industry(norm_industry(spark, d)).select("date", "industry", "industry_return_trend_5")
+    return rounded(P.snapshot(bars.join(market, "date", "left").join(industry, ["date", "industry"], "left"), "1999-06-30"))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +114,7 @@ def analogue_scenarios(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.scenarios(_samples(spark, d)))
 
 
-@query("select symbol, n, round(case when n % 2 = 0 then a else 0.6 * a + 0.4 * m end, 6) as probability, case when n < 20 then 'low' when n < 60 or n % 2 = 0 or n < 100 then 'medium' else 'high' end as confidence from (select symbol, count(*) as n, avg((close > open)::int) as a, avg((high > 1500)::int) as m from bars group by symbol)")
+@query("select symbol, n, round(case when n % 2 = 0 then a else 0.6 * a + 0.4 * m end, 6) as probability, case when n < 20 then 'insufficient' when n < 60 or case when n % 2 = 0 then a else 0.6 * a + 0.4 * m end between 0.45 and 0.55 then 'low' when n % 2 = 1 and n >= 100 then 'high' else 'medium' end as confidence from (select symbol, count(*) as n, avg((close > open)::int) as a, avg((high > 1500)::int) as m from bars group by symbol)")
 def ensemble_blend(spark: SparkSession, d: str) -> DataFrame:
     up = lambda c: F.avg(c.cast("double"))
     x = B.daily(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), up(F.col("close") > F.col("open")).alias("a"), up(F.col("high") > 1500).alias("m"))

@@ -11,10 +11,10 @@ from ..operators.normalise import symbol
 _DEPTH = [f"{side}_{kind}_{i}" for i in range(1, 11) for side in ("bid", "ask") for kind in ("price", "volume")]
 TABLES = {
     "orderbook": (["symbol", "timestamp", "bid_price_1", "bid_volume_1", "ask_price_1", "ask_volume_1"], [c for c in _DEPTH if not c.endswith("_1")]),
-    "trades": (["symbol", "timestamp", "price", "volume"], ["amount", "side"]),
-    "auction": (["symbol", "timestamp", "price", "matched_volume"], ["unmatched_volume", "side"]),
+    "trades": (["symbol", "timestamp", "price", "volume", "amount", "side"], ["trade_id", "order_id", "buyer_order_id", "seller_order_id"]),
+    "auction": (["symbol", "timestamp", "indicative_price", "matched_volume", "unmatched_volume"], ["side", "auction_phase", "amount"]),
 }
-_TEXT = {"symbol", "side"}
+_TEXT = {"symbol", "side", "trade_id", "order_id", "buyer_order_id", "seller_order_id", "auction_phase"}
 
 
 def describe(table: str) -> dict[str, list[str]]:
