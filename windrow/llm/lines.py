@@ -54,7 +54,7 @@ def _links(wanted: DataFrame) -> DataFrame:
     w = Window.partitionBy("h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     # the exclusive or of the places' hashes undoes itself: what stands after a word is all but what runs up to it
     parts = words.withColumn("here", F.xxhash64("i", "word")).withColumn("moved", F.xxhash64(F.col("i") - 1, "word"))
-    runs = parts.withColumn("upto", F.bit_xor("here").over(w)).withColumn("shifted", F.bit_xor("moved").over(w)).withColumn("all", F.bit_xor("moved").over(Window.partitionBy("h")))
+    runs = parts.withColumn("upto", F.bit_xor("here").over(w)).withColumn("shifted", F.bit_xor("moved").over(w)).withColumn("all", F.bit_xor("moved").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     sums = runs.select(
         "h", "first", "n", "i", F.col("upto").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("shifted")).alias("variant"), F.when(F.col("i") == F.col("n") - 1, F.col("upto")).alias("full"),
     )
