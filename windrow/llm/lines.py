@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free, settled
+from .shared import free, release, settled
 
 #: The edit bound is one word in lines of so many words, a third of them at most, and none in shorter ones, which go only
 #: where they are equal: in a line of one word one edit makes it any other such line.
@@ -69,11 +69,13 @@ def _links(wanted: DataFrame) -> DataFrame:
     differ = F.size(F.filter(F.zip_with("wa", "wb", lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
     left_out = F.filter("wa", lambda _, k: k != F.col("i")) == F.col("wb")
     sound = found.join(a, "h").join(b, "other").where(F.when(F.col("shorter"), left_out).otherwise((F.size("wa") == F.size("wb")) & (differ == 1)))
-    return sound.select(F.when(F.col("later"), F.col("h")).otherwise(F.col("other")).alias("h"), F.when(F.col("later"), F.col("other")).otherwise(F.col("h")).alias("other"))
+    out = settled(sound.select(F.when(F.col("later"), F.col("h")).otherwise(F.col("other")).alias("h"), F.when(F.col("later"), F.col("other")).otherwise(F.col("h")).alias("other")))
+    release(sums)
+    return out
 
 
 def removed(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(doc_id, key, gone array<int>): which lines of which document go.
+    """(doc_id, key, gone array<int>), a table of its own: which lines of which document go.
 
     A line goes where an earlier line of the corpus, by doc_id (null last), text's hash and place, has the same words, or
     words one edit away; both are judged on the input, not on what is left."""
@@ -86,10 +88,14 @@ def removed(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     sought = wanted.select(F.col("first.doc_id").alias("d"), F.col("first.key").alias("k"), F.struct(F.col("first.line").alias("line"), "h").alias("x")).groupBy("k").agg(F.collect_list("x").alias("xs"))
     texts = docs.select("doc_id", _key().alias("k"), F.split(_text(), "\n").alias("s")).join(sought, "k").select(F.explode("xs").alias("x"), "s").select("x.h", _words(F.element_at("s", F.col("x.line") + 1)).alias("w"))
     wanted = settled(texts.dropDuplicates(["h"]).join(distinct.select("h", "first"), "h"))
-    near = _links(wanted).select("h").distinct().withColumn("near", F.lit(True))
+    links = _links(wanted)
+    near = links.select("h").distinct().withColumn("near", F.lit(True))
     marks = distinct.join(near, "h", "left").where("c > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = rows.select("h", "at").join(marks, "h").where(F.col("near") | (F.col("at") != F.col("first")))
-    return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key")).agg(F.collect_set("at.line").alias("gone"))
+    out = settled(gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key")).agg(F.collect_set("at.line").alias("gone")))
+    for used in (rows, distinct, wanted, links):  # before the texts are dealt out
+        release(used)
+    return out
 
 
 def deduplicated(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -101,7 +107,7 @@ def deduplicated(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     are one document, whose lines go or stay alike; rows with one doc_id and different texts are documents of
     their own.  An empty table gives an empty one; other columns stay as they are."""
     key, gone_, all_, new = free(docs, "key", "gone", "all", "new")
-    gone = settled(removed(docs.select("doc_id", "text"), near_words)).select(F.col("key").alias(key), F.col("gone").alias(gone_))
+    gone = removed(docs.select("doc_id", "text"), near_words).select(F.col("key").alias(key), F.col("gone").alias(gone_))
     joined = docs.withColumn(key, _key()).join(gone, key, "left").withColumn(all_, F.split(_text(), "\n"))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(gone_)), lambda i: F.element_at(all_, i + 1)), "\n")
     text = F.when(F.col("text").isNull() | F.col(gone_).isNull(), F.col("text")).otherwise(left)
