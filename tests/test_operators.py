@@ -46,10 +46,44 @@ def test_trailing_zeros_switch_a_part_off(spark):
     assert r["a"] == float("inf") and r["b"] == 1.0
 
 
-def test_dtw():
-    assert search.dtw(np.array([1.0, 2, 3]), np.array([1.0, 2, 3])) == 0
-    assert search.dtw(np.array([0.0, 0, 1]), np.array([0.0, 1, 1])) == 0
-    assert search.dtw(np.array([]), np.array([1.0])) == float("inf")
+def warped(a, b):
+    """The cheapest path through all pairs within the band, by plain recursion."""
+    n, m = len(a), len(b)
+    band = max(abs(n - m), max(n, m) // 4, 2)
+
+    def cost(i, j):
+        if i == j == 0:
+            return 0.0
+        if i < 1 or j < 1 or abs(i - j) > band:
+            return float("inf")
+        return abs(a[i - 1] - b[j - 1]) + min(cost(i - 1, j), cost(i, j - 1), cost(i - 1, j - 1))
+
+    return cost(n, m) / (n + m) if n and m else float("inf")
+
+
+def test_dtw(spark):
+    rng = np.random.default_rng(1)
+    pairs = [([1.0, 2.0, 3.0], [1.0, 2.0, 3.0]), ([0.0, 0.0, 1.0], [0.0, 1.0, 1.0]), ([], [1.0])] + [(rng.random(rng.integers(1, 8)).tolist(), rng.random(rng.integers(1, 8)).tolist()) for _ in range(40)]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a array<double>, b array<double>")
+    got = {r["k"]: r["d"] for r in df.select("k", search.dtw_distance(df["a"], df["b"]).alias("d")).collect()}
+    assert [got[k] for k in range(len(pairs))] == pytest.approx([warped(a, b) for a, b in pairs])
+
+
+def test_names_and_suggestions(spark):
+    universe = spark.createDataFrame([("000001", "Alpha"), ("000002", "Beta"), ("600036", "Alpha Two"), ("000333", "Gamma 0003"), ("999999", "Beta")], "symbol string, name string")
+    cached = universe.where("symbol <> '000002'").select("symbol")
+    one = lambda q, **more: [tuple(r) for r in normalise.resolve(universe, q, **more).collect()]
+    assert one("1") == [("000001", "Alpha", "symbol")] and one("alpha") == [("000001", "Alpha", "name")] and one("two") == [("600036", "Alpha Two", "name_partial")]
+    assert one("beta") == [] and one("beta", cached=cached) == [("999999", "Beta", "name")] and one("424242") == [("424242", None, "symbol")] and one("zzz") == []
+    assert [r["symbol"] for r in normalise.choices(universe, "").collect()] == ["000333", "600036", "000001", "000002", "999999"]
+    assert [r["symbol"] for r in normalise.choices(universe, "a", cached=cached).collect()] == ["600036", "000001", "000333", "999999"]
+    assert [r["symbol"] for r in normalise.choices(universe, "alpha").collect()] == ["600036", "000001"]
+
+
+def test_exchanges(spark):
+    codes = ["600000", "688001", "730001", "510300", "113001", "430047", "400001", "920001", "830799", "840001", "000001", "900901"]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    assert [r[0] for r in df.select(normalise.exchange(df["c"])).collect()] == ["sh", "sh", "sh", "sz", "sz", "bj", "sz", "bj", "bj", "sz", "sz", "sh"]
 
 
 def test_ranking_caps_and_overlap(spark):
@@ -72,10 +106,13 @@ def test_symbols(spark):
 
 
 def test_level2(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("symbol,timestamp,price,volume,side\n1,2024-01-02 09:30:00,1.5,x,B\n2,nonsense,1,1,S\n")
+    (tmp_path / "t.csv").write_text("symbol,timestamp,price,volume,amount,side\n1,2024-01-02 09:30:00,1.5,x,,B\n2,nonsense,1,1,1,S\n")
     df, about = level2.load(spark, str(tmp_path / "t.csv"), "trades")
     assert [(r["symbol"], r["price"], r["volume"], r["amount"]) for r in df.collect()] == [("000001", 1.5, None, None)]
-    with pytest.raises(ValueError):
+    assert df.columns == ["symbol", "timestamp", "price", "volume", "amount", "side", "trade_id", "order_id", "buyer_order_id", "seller_order_id"]
+    with pytest.raises(ValueError, match="amount"):
+        level2.validated(df.drop("amount"), "trades")
+    with pytest.raises(ValueError, match="indicative_price"):
         level2.validated(spark.range(1), "auction")
 
 

@@ -67,27 +67,23 @@ def similarity(distance: Column) -> Column:
     return F.when(distance < float("inf"), 1 / (1 + F.greatest(distance, F.lit(0.0)))).otherwise(0.0)
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Banded dynamic time warping with absolute costs, over the sum of the lengths; infinite for an empty side."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return float("inf")
-    band = max(abs(n - m), max(n, m) // 4, 2)
-    before = np.full(m + 1, np.inf)
-    before[0] = 0.0
-    for i in range(1, n + 1):
-        now = np.full(m + 1, np.inf)
-        for j in range(max(1, i - band), min(m, i + band) + 1):
-            now[j] = abs(a[i - 1] - b[j - 1]) + min(before[j], now[j - 1], before[j - 1])
-        before = now
-    return float(before[m] / (n + m))
+def dtw_distance(a: Column, b: Column) -> Column:
+    """Banded dynamic time warping of two arrays with absolute costs, over the sum of their lengths; infinite for an empty side.
 
+    The table of costs is folded row by row, so a pair needs memory for one row."""
+    n, m, inf = F.size(a), F.size(b), F.lit(float("inf"))
+    band = F.greatest(F.abs(n - m), F.floor(F.greatest(n, m) / 4).cast("int"), F.lit(2))
 
-def dtw_distance(a: Column, b: Column) -> Column:
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([dtw(np.asarray(u), np.asarray(v)) for u, v in zip(x, y, strict=True)])
+    def row(before: Column, i: Column) -> Column:
+        def cell(now: Column, j: Column) -> Column:
+            cost = F.abs(F.element_at(a, i) - F.element_at(b, j)) + F.least(F.get(before, j), F.element_at(now, -1), F.get(before, j - 1))
+            return F.concat(now, F.array(F.when(F.abs(i - j) <= band, cost).otherwise(inf)))
+
+        return F.aggregate(F.sequence(F.lit(1), m), F.array(inf), cell)
 
-    return F.pandas_udf(of, "double")(a, b)
+    first = F.transform(F.sequence(F.lit(0), m), lambda j: F.when(j == 0, 0.0).otherwise(inf))
+    table = F.aggregate(F.sequence(F.lit(1), n), first, row)
+    return F.when((n == 0) | (m == 0), inf).otherwise(F.element_at(table, -1) / (n + m))
 
 
 def forward(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:

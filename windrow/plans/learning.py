@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,7 +204,8 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_TICKS} select symbol, max(ts) as ts, arg_max(price, row(ts, event_id)) as price from t group by symbol")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last tick of each symbol, kept up to date by a stream's batches."""
-    path, marks = tempfile.mkdtemp(prefix="windrow-upsert-"), tempfile.mkdtemp(prefix="windrow-marks-")
+    root = T.folder(spark)
+    path, marks = f"{root}/table", f"{root}/marks"
     put = T.upserting(path, ["symbol"])
 
     def last(batch: DataFrame, epoch: int) -> None:
@@ -217,7 +216,16 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return T.current(spark, path)
 
 
-@query("select count(*) as n from (select distinct user_id, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') from events)")
+@query("""with e as (select *, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') + interval '6 hours' as stop from events),
+    m as (select (select max(ts) from e where event_id % 3 = 0) - interval '1 hour' as late, (select max(ts) from e) - interval '1 hour' as closed)
+    select lpad(cast(user_id as varchar), 6, '0') as symbol, start, count(*) as n from e, m where stop <= closed and (event_id % 3 < 2 or stop > late) group by 1, 2""")
 def stream_late_drop(spark: SparkSession, d: str) -> DataFrame:
-    """Closed windows of a stream that appends, and those still open, are all of them: nothing came late."""
-    return T.drained(T.bars(T.ticks(T.read(spark, f"{d}/events.parquet"), "10 days")), "complete").agg(F.count("*").alias("n"))
+    """Three batches of a stream that appends closed windows: what the third brings for windows that the first closed is dropped.
+
+    Rows are late by the watermark that the batch before went by, so the second batch's are not yet."""
+    root, events = T.folder(spark), B.read(spark, d, "events")
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{root}/batch-{k}")
+    read = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/batch-*")
+    bars = T.bars(T.ticks(read))
+    return T.appended(bars, f"{root}/table", f"{root}/marks").select("symbol", "start", "n")

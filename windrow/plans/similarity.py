@@ -214,15 +214,34 @@ def scope_historical(spark: SparkSession, d: str) -> DataFrame:
 #: Trailing zeros are trimmed before the root mean square, and the shorter side is padded, so only the common length counts.
 _LEN = lambda c: f"greatest(coalesce(list_max(list_transform(range(1, len(a.{c}) + 1), lambda i: case when a.{c}[i] <> 0 then i else 0 end)), 0), coalesce(list_max(list_transform(range(1, len(q.{c}) + 1), lambda i: case when q.{c}[i] <> 0 then i else 0 end)), 0))"
 _TR = lambda c: f"(case when list_sum(list_transform(a.{c}, lambda v: abs(v))) = 0 or list_sum(list_transform(q.{c}, lambda v: abs(v))) = 0 then 'inf'::double else sqrt(list_sum(list_transform(range(1, len(a.{c}) + 1), lambda i: (a.{c}[i] - q.{c}[i]) * (a.{c}[i] - q.{c}[i]))) / {_LEN(c)}) end)"
-_SC = f"sc as (select a.symbol, a.start_date, a.end_date, {_TR('price_path')} as price, {_TR('candle_geometry')} as candle, {_TR('volume_liquidity')} as vol from enc5 a, q)"
+_LEVELS = lambda v: f"list_slice({v}, 1, coalesce(list_max(list_transform(range(1, 6), lambda i: case when {v}[i] <> 0 then i else 0 end)), 0))"
+#: The cells of the table of time warping over two paths of at most five levels, each from its three neighbours.
+_CELL = lambda i, j: "0.0::double" if i == j == 0 else "'inf'::double" if not i or not j else f"c{i}{j}"
+_CELLS = ", ".join(f"case when {abs(i - j)} <= band then abs(x[{i}] - y[{j}]) + least({_CELL(i - 1, j)}, {_CELL(i, j - 1)}, {_CELL(i - 1, j - 1)}) else 'inf'::double end as c{i}{j}" for i in range(1, 6) for j in range(1, 6))
+_ALL = ", ".join(f"c{i}{j}" for i in range(1, 6) for j in range(1, 6))
+
+
+def _warped(source: str, a: str, q: str, *more: str) -> str:
+    """CTE sc: symbol, start_date, end_date, price (the time-warping distance of the levels) and more columns of the pairs in ``source``."""
+    return f"""dx as (select a.symbol, a.start_date, a.end_date, {", ".join((*more, f"{_LEVELS(a)} as x", f"{_LEVELS(q)} as y"))} from {source}),
+    dy as (select *, len(x) as n, len(y) as m, greatest(abs(len(x) - len(y)), greatest(len(x), len(y)) // 4, 2) as band from dx),
+    dz as (select *, {_CELLS} from dy), sc as (select * exclude ({_ALL}, x, y, n, m, band), case when n = 0 or m = 0 then 'inf'::double else [{_ALL}][(n - 1) * 5 + m] / (n + m) end as price from dz)"""
+
+
+_SC = _warped("enc5 a, q", "a.price_path", "q.price_path", f"{_TR('candle_geometry')} as candle", f"{_TR('volume_liquidity')} as vol")
 _BAL = "(case when price < 'inf' then 0.45 * price else 0 end + case when candle < 'inf' then 0.2 * candle else 0 end + case when vol < 'inf' then 0.2 * vol else 0 end) / nullif(case when price < 'inf' then 0.45 else 0 end + case when candle < 'inf' then 0.2 else 0 end + case when vol < 'inf' then 0.2 else 0 end, 0)"
 _SHAPE = "(case when price < 'inf' then 0.45 * price else 0 end + case when candle < 'inf' then 0.2 * candle else 0 end) / nullif(case when price < 'inf' then 0.45 else 0 end + case when candle < 'inf' then 0.2 else 0 end, 0)"
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
-    part = {"price_path": "price", "candle_geometry": "candle", "volume_liquidity": "vol"}
-    return p.select("symbol", "start_date", "end_date", *(S.rmse(S.trimmed(F.col(c)), S.trimmed(F.col(f"q_{c}"))).alias(a) for c, a in part.items()))
+    part = {"candle_geometry": "candle", "volume_liquidity": "vol"}
+    return p.select("symbol", "start_date", "end_date", _path(5).alias("price"), *(S.rmse(S.trimmed(F.col(c)), S.trimmed(F.col(f"q_{c}"))).alias(a) for c, a in part.items()))
+
+
+def _path(size: int):
+    """How far two windows' price levels are apart, by time warping."""
+    return S.dtw_distance(S.trimmed(F.slice("price_path", 1, size)), S.trimmed(F.slice("q_price_path", 1, size)))
 
 
 @query(f"with {_PAIR}, {_SC} select symbol, end_date, {_r('price', 'candle', 'vol')} from sc")
@@ -242,11 +261,12 @@ def shape_score(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_scores(spark, d).select("symbol", "end_date", b.alias("distance"), S.similarity(b).alias("similarity")))
 
 
-@query()
+@query(f"""with {_PAIR}, near as (select a.*, q.price_path as qp from enc5 a, q order by list_distance(a.price_path, q.price_path), a.symbol, a.end_date limit 200),
+    {_warped("near a", "a.price_path", "a.qp")} select symbol, end_date, round(price, 6) as dtw from sc""")
 def dtw_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The 200 nearest windows by price path, scored by dynamic time warping over the levels."""
     near = _pairs(spark, d).withColumn("l2", S.euclid(F.col("price_path"), F.col("q_price_path"))).orderBy("l2", "symbol", "end_date").limit(200)
-    return rounded(near.select("symbol", "end_date", S.dtw_distance(F.slice("price_path", 1, 5), F.slice("q_price_path", 1, 5)).alias("dtw")))
+    return rounded(near.select("symbol", "end_date", _path(5).alias("dtw")))
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -255,13 +275,13 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     o = S.overlap_days(F.col("start_date"), F.col("end_date"), F.col("q_start_date"), F.col("q_end_date"))
     far = p.where(~((F.col("symbol") == F.col("q_symbol")) & (o > S.OVERLAP_DAYS)))
     near = far.withColumn("l2", S.euclid(F.concat("price_path", "candle_geometry"), F.concat("q_price_path", "q_candle_geometry"))).orderBy("l2", "symbol", "end_date").limit(200)
-    b = S.balanced({"price_path": S.rmse(S.trimmed(F.col("price_path")), S.trimmed(F.col("q_price_path"))), "candle_geometry": S.rmse(S.trimmed(F.col("candle_geometry")), S.trimmed(F.col("q_candle_geometry")))})
+    b = S.balanced({"price_path": _path(5), "candle_geometry": S.rmse(S.trimmed(F.col("candle_geometry")), S.trimmed(F.col("q_candle_geometry")))})
     return near.select("symbol", "start_date", "end_date", b.alias("distance"), S.similarity(b).alias("score"))
 
 
 _CAND = f"""{_PAIR}, near as (select a.*, q.price_path as qp, q.candle_geometry as qc from enc5 a, q where not (a.symbol = q.symbol and {_OV} > 2)
     order by list_distance(list_concat(a.price_path, a.candle_geometry), list_concat(q.price_path, q.candle_geometry)), a.symbol, a.end_date limit 200),
-    sc as (select a.symbol, a.start_date, a.end_date, {_TR('price_path')} as price, {_TR('candle_geometry')} as candle from near a, q), cand as (select symbol, start_date, end_date, {_SHAPE} as distance, 1 / (1 + {_SHAPE}) as score from sc)"""
+    {_warped("near a, q", "a.price_path", "q.price_path", _TR('candle_geometry') + " as candle")}, cand as (select symbol, start_date, end_date, {_SHAPE} as distance, 1 / (1 + {_SHAPE}) as score from sc)"""
 _TOP = f"{_CAND}, best as (select * from (select *, row_number() over (partition by symbol order by score desc, distance, end_date) as r from cand) where r = 1), top as (select symbol, start_date, end_date, distance, score from best order by score desc, distance, symbol, end_date limit 10)"
 
 

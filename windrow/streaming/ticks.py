@@ -4,6 +4,7 @@ Each function takes and gives a DataFrame, streaming or not, so a batch over the
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +38,28 @@ def sessions(t: DataFrame, gap: str = "12 hours") -> DataFrame:
     return s.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n", "cents")
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that the stream has now, processed to its end and kept in memory: for tests and small results."""
-    name = f"t_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which all machines share; a local session without one gets its own."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{own}/windrow-stream-{uuid.uuid4().hex}" if own else tempfile.mkdtemp(prefix="windrow-stream-")
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """The whole result of the stream, processed to its end: each batch's is written beside the one before, by the executors."""
+    spark, path = stream.sparkSession, folder(stream.sparkSession)
+    write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/table/v={epoch}")
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/marks").trigger(availableNow=True).start().awaitTermination()
+    found = current(spark, f"{path}/table")
+    return spark.createDataFrame([], stream.schema) if found is None else found
+
+
+def appended(stream: DataFrame, path: str, marks: str) -> DataFrame:
+    """All that the stream closes, appended to the Parquet table at ``path``; what has been read is remembered in ``marks``, so a later
+    call goes on from there."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def upserting(path: str, keys: list[str]):
