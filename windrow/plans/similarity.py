@@ -188,8 +188,10 @@ _PAIR = "q as (select * from enc5 where symbol = (select min(symbol) from enc5)
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every window beside the query window: the last one of the first symbol."""
-    e = _enc(spark, d)
-    q = e.orderBy("symbol", F.col("end_date").desc()).limit(1)
+    e, bars = _enc(spark, d), norm(spark, d)
+    # only the first symbol's windows are made to find the query
+    own = bars.join(F.broadcast(B.daily(spark, d).agg(F.min("symbol").alias("symbol"))), "symbol", "left_semi")  # one row
+    q = W.encoded(W.sliding(own, 5).orderBy("symbol", F.col("end_date").desc()).limit(1))
     one = q.select(*(F.col(c).alias(f"q_{c}") for c in ("symbol", "start_date", "end_date", "price_path", "candle_geometry", "volume_liquidity")))
     return e.crossJoin(F.broadcast(one))
 
