@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from windrow.api import Cache, Engine, SearchRequest
 from windrow.functions import rolling as R
-from windrow.operators import market, normalise, probe, search, windows
+from windrow.operators import catalog, index, market, normalise, probe, search, selection, windows
 from windrow.sources import level2, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -137,3 +137,83 @@ def test_api(spark, small):
     c.put(1, "a")
     c.put(2, "b")
     assert c.get(1) is None and c.get(2) == "b"
+
+
+def test_minutes(spark):
+    at = lambda m: dt.datetime(2024, 1, 2, 9, m)
+    rows = [("a", at(1), 10.0, 10.0, None), ("a", at(0), 8.0, 8.0, None), ("a", at(2), None, 9.0, None), ("a", at(3), 11.0, 12.0, 7.0), ("b", None, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, close double, high double, change double").withColumns({"open": F.lit("1.5"), "low": F.col("high")})
+    got = normalise.minutes(df, "5").orderBy("timestamp").collect()
+    assert [(r["timestamp"], r["change"], r["pct_change"], r["turnover"], r["open"]) for r in got] == [(at(0), 0.0, 0.0, 0.0, 1.5), (at(1), 2.0, 25.0, 0.0, 1.5), (at(3), 7.0, 0.0, 0.0, 1.5)]
+    assert {(r["date"], r["frequency"]) for r in got} == {(dt.date(2024, 1, 2), "5")}
+
+
+def test_times_and_relaxed_types(spark, tmp_path):
+    df = spark.sql("select explode(array(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-02 23:59:59', timestamp_ntz'2024-01-03 00:00:00')) as timestamp")
+    assert sinks.between(df, "2024-01-01", "2024-01-02").count() == 2 and sinks.between(df, None, "2024-01-02 00:00:00").count() == 1 and sinks.between(df, "2024-01-02").count() == 2
+    spark.sql("select 1 as x, 'a' as s").write.parquet(str(tmp_path / "i"))
+    spark.sql("select cast(0.5 as float) as x").write.parquet(str(tmp_path / "f"))
+    wanted = spark.sql("select 1.0d as x, 'a' as s").schema
+    assert sorted((r["x"], r["s"]) for r in sinks.relaxed(spark, [str(tmp_path / "i"), str(tmp_path / "f")], wanted).collect()) == [(0.5, None), (1.0, "a")]
+    with pytest.raises(ValueError, match="x is int"):
+        sinks.relaxed(spark, [str(tmp_path / "i")], spark.sql("select '' as x").schema)
+
+
+def test_samples_do_not_depend_on_the_dealing(spark):
+    df = spark.range(500).selectExpr("cast(id as string) as symbol", "id as date")
+    one, two = (sorted(r["date"] for r in normalise.sample(df.repartition(n), 20, 3, ["symbol"]).collect()) for n in (1, 7))
+    other = sorted(r["date"] for r in normalise.sample(df, 20, 4, ["symbol"]).collect())
+    assert one == two and len(one) == 20 and one != other
+
+
+def test_stored_windows(spark, tmp_path):
+    b, root = normalise.bars(bars(spark, range(1, 13)).unionByName(bars(spark, range(5, 17), "000002"))), str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        index.load(spark, root, 5)
+    made = index.build(b, 5, root, 1).first()
+    assert (made["n_windows"], made["symbols"], made["dimensions"]) == (16, 2, 40)
+    key = ["symbol", "end_idx", "price_path", "candle_geometry", "volume_liquidity"]
+    fresh = windows.encoded(windows.sliding(b, 5)).select(*key)
+    assert sorted(map(str, index.load(spark, root, 5).select(*key).collect())) == sorted(map(str, fresh.collect()))
+    # windows of a build that was cut off have no manifest and are not seen
+    index.load(spark, root, 5, check=False).limit(3).write.parquet(f"{root}/window_size=5/windows/v=2")
+    assert index.load(spark, root, 5).count() == 16
+    index.load(spark, root, 5, check=False).limit(3).write.mode("append").parquet(f"{root}/window_size=5/windows/v=1")
+    with pytest.raises(ValueError, match="n_windows"):
+        index.load(spark, root, 5)
+
+
+def test_inputs_must_not_change_during_a_build(spark, tmp_path):
+    spark.range(3).write.parquet(path := str(tmp_path / "x"))
+    before = catalog.input_snapshot(spark, [path, str(tmp_path / "absent")])
+    catalog.unchanged(spark, [path], before)
+    spark.range(4).write.mode("append").parquet(path)
+    with pytest.raises(RuntimeError, match="changed"):
+        catalog.unchanged(spark, [path], before)
+    assert catalog.snapshot_fingerprint(before) != catalog.snapshot_fingerprint(catalog.input_snapshot(spark, [path]))
+
+
+def test_training_needs_a_passed_run(spark):
+    body = lambda ok: f'{{"result": {{"acceptance": {{"passed": {ok}}}, "accuracy": 0.9}}}}'
+    runs = spark.createDataFrame([("a", 1, body("true")), ("b", 2, body("false")), ("c", 3, "{broken")], "run_id string, generated_at long, body string")
+    assert selection.may_train(runs)["run_id"] == "a" and selection.may_train(runs, "a")["accuracy"] == 0.9
+    for asked in ("b", "c", "z"):
+        with pytest.raises(PermissionError):
+            selection.may_train(runs, asked)
+
+
+def test_selector_pools(spark):
+    columns = "k string, place int, method string, eligible boolean, accuracy double, wilson double, stable_wilson double, coverage double, n long"
+    rows = [("x", 0, "probability_band", False, 0.99, 0.99, 0.99, 0.9, 5000), ("x", 1, "meta_correctness", True, 0.5, 0.5, 0.5, 0.1, 10),
+            ("y", 0, "probability_band", False, 0.9, 0.9, 0.9, 0.9, 199), ("y", 1, "meta_correctness", False, 0.1, 0.1, None, 0.1, 200),
+            ("z", 0, "other", False, None, None, None, None, 0), ("z", 1, "other", False, None, None, None, None, 0)]
+    got = {r["k"]: (r["method"], r["pool"]) for r in selection.select(spark.createDataFrame(rows, columns), ["k"], "place").collect()}
+    assert got == {"x": ("meta_correctness", 0), "y": ("meta_correctness", 1), "z": ("other", 3)}
+
+
+def test_engine_searches_stored_windows(spark, small, tmp_path):
+    request, key = SearchRequest("000001", "2001-06-30", top_k=3), ["symbol", "end_date", "score"]
+    engine = Engine(spark, small, str(tmp_path))
+    without = engine.search(request).select(*key).collect()
+    assert engine.build(5, 1)["window_size"] == 5
+    assert engine.search(request).select(*key).collect() == without

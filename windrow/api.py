@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import factors, normalise, search, windows
+from .operators import factors, index, normalise, search, windows
 from .session import session
 from .sources import bars, sinks
 
@@ -53,8 +53,9 @@ class Cache:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.cache = spark, folder, Cache()
+    def __init__(self, spark: SparkSession, folder: str, stored: str | None = None):
+        """``stored`` is where indexes are built and looked for; without it each search makes its windows."""
+        self.spark, self.folder, self.stored, self.cache = spark, folder, stored, Cache()
 
     def bars(self) -> DataFrame:
         return normalise.bars(bars.daily(self.spark, self.folder))
@@ -65,12 +66,30 @@ class Engine:
             raise ValueError(f"{query!r} names no symbol, or more than one")
         return found[0]["symbol"]
 
+    def build(self, size: int, version: int) -> dict:
+        """Stores the windows of a size; earlier results are forgotten."""
+        if self.stored is None:
+            raise ValueError("the engine has no folder for indexes")
+        inputs = [f"{self.folder}/{t}.parquet" for t in bars.TABLES]
+        made = index.build(self.bars(), size, self.stored, version, inputs).first().asDict()
+        self.cache.kept.clear()
+        return made
+
+    def windows(self, size: int) -> DataFrame:
+        """Stored windows, held against their manifest, or windows made now."""
+        if self.stored is not None:
+            try:
+                return index.load(self.spark, self.stored, size)
+            except FileNotFoundError:
+                pass
+        return windows.encoded(windows.sliding(self.bars(), size))
+
     def search(self, request: SearchRequest, past: bool = False) -> DataFrame:
         """symbol, start_date, end_date, distance, score, has_forward, by rank; of ``past`` windows, which end before the asked one
         begins, alone."""
         if (hit := self.cache.get((request, past))) is not None:
             return hit
-        all_ = windows.encoded(windows.sliding(self.bars(), request.window_size))
+        all_ = self.windows(request.window_size)
         code = self.resolve(request.symbol)
         asked = all_.where((F.col("symbol") == code) & (F.col("end_date") <= F.lit(request.end_date).cast("date"))).orderBy(F.col("end_date").desc()).limit(1)
         parts = ("price_path", "candle_geometry", "volume_liquidity")
@@ -111,17 +130,21 @@ class Engine:
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="windrow")
-    p.add_argument("command", choices=["search", "predict", "status", "doctor", "query"])
+    p.add_argument("command", choices=["search", "predict", "status", "doctor", "query", "build"])
     p.add_argument("folder")
     p.add_argument("--symbol", default="000001")
     p.add_argument("--end-date", default="2001-06-30")
     p.add_argument("--window", type=int, default=5)
     p.add_argument("--top", type=int, default=10)
     p.add_argument("--name", help="of a registered query")
+    p.add_argument("--index", help="folder of stored windows")
     p.add_argument("--csv")
     p.add_argument("--html")
     a = p.parse_args(args)
-    engine = Engine(session(), a.folder)
+    engine = Engine(session(), a.folder, a.index)
+    if a.command == "build":
+        print(engine.build(a.window, int(time.time())))
+        return
     if a.command in ("status", "doctor"):
         print(getattr(engine, a.command)())
         return

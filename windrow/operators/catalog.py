@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,5 +41,43 @@ def retry(attempts: DataFrame, most: int = 3) -> DataFrame:
     return by.where((F.col("status") != "completed") & (F.col("attempts") < most)).select("symbol", "attempts")
 
 
+def resumable(runs: DataFrame, frequency: str, symbols: list[str], start: str, end: str) -> DataFrame:
+    """The latest run that did not end and asked for the same: frequency, symbols in any order, and days."""
+    same = (F.col("frequency") == frequency) & (F.array_sort("symbols") == F.array(*map(F.lit, sorted(symbols)))) & F.col("start_date").eqNullSafe(F.lit(start).cast("date")) & F.col("end_date").eqNullSafe(F.lit(end).cast("date"))
+    return runs.where(same & F.col("status").isin("running", "partial")).orderBy(F.col("started_at").desc(), F.col("run").desc()).limit(1)
+
+
+def stale_runs(runs: DataFrame, attempts: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """Runs that say they are running although their last attempt, or without one their start, lies more than so many minutes back;
+    with no minutes none is stale."""
+    last = attempts.groupBy("run").agg(F.max("attempted_at").alias("attempted_at"))
+    seen = runs.where("status = 'running'").join(last, "run", "left").withColumn("last_activity", F.coalesce("attempted_at", "started_at"))
+    return seen.where(F.lit(minutes > 0) & (now - F.col("last_activity") > F.expr(f"interval {max(minutes, 0)} minutes"))).select("run", "last_activity")
+
+
+def input_snapshot(spark: SparkSession, paths: list[str]) -> dict[str, tuple[int, int]]:
+    """Length and time of change of every file below the paths; names of files, so bounded by their number."""
+    jvm, found = spark._jvm, {}
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(where):
+            files = fs.listFiles(where, True)
+            while files.hasNext():
+                f = files.next()
+                found[str(f.getPath())] = (f.getLen(), f.getModificationTime())
+    return found
+
+
+def snapshot_fingerprint(snapshot: dict[str, tuple[int, int]]) -> str:
+    return hashlib.sha256("".join(f"{p}{n}{t}" for p, (n, t) in sorted(snapshot.items())).encode()).hexdigest()
+
+
+def unchanged(spark: SparkSession, paths: list[str], before: dict[str, tuple[int, int]]) -> None:
+    """Raises if an input was written while something was built from it."""
+    if changed := sorted(set(before.items()) ^ set(input_snapshot(spark, paths).items())):
+        raise RuntimeError(f"inputs changed during the build: {changed[0][0]}")
+
+
 def latest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), time).alias("x")).select("x.*")

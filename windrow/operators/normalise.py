@@ -27,6 +27,57 @@ def bars(df: DataFrame) -> DataFrame:
     return df.select("*", F.coalesce(F.col("close") - before, F.lit(0.0)).alias("change"), rate(F.col("close") - before).alias("pct_change"), rate(F.col("high") - F.col("low")).alias("amplitude"))
 
 
+def minutes(df: DataFrame, frequency: str) -> DataFrame:
+    """Bars of minutes: the day of the timestamp as date, and change, pct_change and amplitude where the source lacks them; volume,
+    amount and turnover default to 0; rows without a timestamp or prices go, after the row before them has been looked up."""
+    own = Window.partitionBy("symbol").orderBy("timestamp")
+    before = F.lag("close").over(own)
+    rate = lambda x: 100 * x / F.nullif(before, F.lit(0.0))
+    given = lambda c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+    made = {"change": F.col("close") - before, "pct_change": rate(F.col("close") - before), "amplitude": rate(F.col("high") - F.col("low")), "volume": None, "amount": None, "turnover": None}
+    cells = [F.coalesce(given(c), *([e] if e is not None else []), F.lit(0.0)).alias(c) for c, e in made.items()]
+    rows = df.select("symbol", F.lit(frequency).alias("frequency"), "timestamp", F.col("timestamp").cast("date").alias("date"), *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")), *cells)
+    return rows.dropna(subset=["timestamp", "open", "high", "low", "close"])
+
+
+def source_units(df: DataFrame, source: str) -> DataFrame:
+    """Bars of a source in common units: ``sina`` gives turnover as a fraction, ``tencent`` calls volume amount."""
+    if source == "sina" and "turnover" in df.columns:
+        return df.withColumn("turnover", F.col("turnover").cast("double") * 100.0)
+    if source == "tencent" and "amount" in df.columns:
+        return df.drop("volume").withColumnRenamed("amount", "volume")
+    return df
+
+
+def is_st(name: Column) -> Column:
+    """Whether a name marks special treatment or delisting."""
+    return F.coalesce(name.rlike("ST|退"), F.lit(False))
+
+
+def sample(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
+    """n rows, the same in every run and however the rows are dealt: those of least hash of the seed and the keys."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)).cast("binary"))
+    return df.withColumn("__h", h).orderBy("__h", *keys).limit(n).drop("__h")
+
+
+def anchors(df: DataFrame, n: int, seed: int, key: str = "symbol", time: str = "date") -> DataFrame:
+    """Of n symbols, in an order shuffled by the seed, one day each, drawn by the seed from the symbol's days."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col(time).cast("string")).cast("binary"))
+    one = df.groupBy(key).agg(F.min_by(time, F.struct(draw, F.col(time))).alias("anchor"))
+    return sample(one, n, seed, [key])
+
+
+def first_wins(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """By key, the distinct values in the order in which they first come."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, value)))
+    return df.groupBy(key).agg(F.array_distinct(F.transform(rows, lambda x: x[value])).alias(f"{value}s"))
+
+
+def fingerprint(*columns: str) -> Column:
+    """Sixteen digits of the SHA-256 of the columns as JSON, keys in natural order, nulls written out."""
+    return F.left(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256), F.lit(16))
+
+
 def symbol(raw: Column) -> Column:
     """Six digits: exchange prefixes go one after the other, then all but digits; padded, and the last six kept."""
     s = F.lower(F.trim(raw))

@@ -1,6 +1,6 @@
 """Every query of the library, by name."""
 
-from . import basics, days, features, learning, markets, prediction, similarity
+from . import basics, days, features, learning, markets, prediction, records, similarity
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "days", "features", "learning", "markets", "prediction", "similarity"]
+__all__ = ["ORACLES", "QUERIES", "basics", "days", "features", "learning", "markets", "prediction", "records", "similarity"]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A total order of a supplier's day of line items, so first and last are the same in every run.
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+#: The tables that bars and profiles are made of.
+TABLES = ("lineitem", "supplier", "nation", "region")
 PRICES = ("open", "high", "low", "close")
 
 

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.normalise import upsert
 from ..streaming.ticks import current
@@ -22,11 +23,39 @@ def write_bars(df: DataFrame, path: str) -> None:
 
 
 def scan(spark: SparkSession, path: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Bars of some symbols between two days, both included; the conditions reach the files."""
+    """Bars of some symbols between two times, both included; the conditions reach the files."""
     df = spark.read.parquet(path)
     df = df.where(F.col("symbol").isin(symbols)) if symbols else df
-    df = df.where(F.col("date") >= F.lit(start).cast("date")) if start else df
-    return df.where(F.col("date") <= F.lit(end).cast("date")) if end else df
+    return between(df, start, end)
+
+
+def between(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows by timestamp, or by date where there is none.  A day alone means its first second as a start and its last as an end."""
+    if "timestamp" not in df.columns:
+        df = df.where(F.col("date") >= F.lit(start).cast("date")) if start else df
+        return df.where(F.col("date") <= F.lit(end).cast("date")) if end else df
+    at = lambda x, clock: F.lit(f"{x} {clock}" if len(x) == 10 else x).cast(df.schema["timestamp"].dataType)
+    df = df.where(F.col("timestamp") >= at(start, "00:00:00")) if start else df
+    return df.where(F.col("timestamp") <= at(end, "23:59:59")) if end else df
+
+
+def relaxed(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+    """Tables of one layout read as ``schema``: whole numbers may stand for fractions, and narrow numbers for wide ones; columns that a
+    table lacks are null, and any other difference is an error."""
+    whole, frac = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
+    wider = {a: (*whole[i + 1 :], *frac) for i, a in enumerate(whole)} | {"float": ("double",)}
+    out = None
+    for path in paths:
+        df = spark.read.parquet(path)
+        have, cells = dict(df.dtypes), []
+        for f in schema:
+            kind, asked = have.get(f.name), f.dataType.simpleString()
+            if kind not in (None, asked) and asked not in wider.get(kind, ()):
+                raise ValueError(f"{path}: {f.name} is {kind}, not {asked}")
+            cells.append((F.col(f"`{f.name}`") if kind else F.lit(None)).cast(f.dataType).alias(f.name))
+        df = df.select(*cells)
+        out = df if out is None else out.unionByName(df)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def put(new: DataFrame, path: str, keys: list[str], version: int) -> DataFrame:

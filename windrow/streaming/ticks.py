@@ -38,6 +38,17 @@ def sessions(t: DataFrame, gap: str = "12 hours") -> DataFrame:
     return s.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n", "cents")
 
 
+def daily_factors(t: DataFrame) -> DataFrame:
+    """By symbol and day: ticks, return and range in percent of the day's first price, and where in its range the day ended."""
+    k = F.struct("ts", "event_id")
+    day = t.groupBy(F.window("ts", "1 day").alias("w"), "symbol").agg(F.min_by("price", k).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", k).alias("close"), F.count("*").alias("n"))
+    rate = lambda x, of, otherwise: F.coalesce(x / F.nullif(of, F.lit(0.0)), F.lit(otherwise))
+    return day.select(
+        "symbol", F.col("w.start").cast("date").alias("date"), "n", rate(100 * (F.col("close") - F.col("open")), F.col("open"), 0.0).alias("day_return"),
+        rate(100 * (F.col("high") - F.col("low")), F.col("open"), 0.0).alias("day_range"), rate(F.col("close") - F.col("low"), F.col("high") - F.col("low"), 0.5).alias("close_position"),
+    )
+
+
 def folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all machines share; a local session without one gets its own."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
