@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from windrow.api import Cache, Engine, SearchRequest
 from windrow.functions import rolling as R
-from windrow.operators import catalog, index, market, normalise, probe, search, selection, windows
+from windrow.operators import catalog, index, market, models, normalise, probe, search, selection, windows
 from windrow.sources import level2, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -217,3 +217,13 @@ def test_engine_searches_stored_windows(spark, small, tmp_path):
     without = engine.search(request).select(*key).collect()
     assert engine.build(5, 1)["window_size"] == 5
     assert engine.search(request).select(*key).collect() == without
+
+
+def test_agreement_by_counts_equals_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(b), int(y)) for a, b, y in zip(rng.random(300).round(2), rng.random(300).round(2), rng.integers(0, 2, 300))]
+    got = models.agreement(spark.createDataFrame(rows, "a double, b double, label int"), ["a", "b"], 7).collect()
+    for r in got:
+        means = [((a + b) / 2, y) for a, b, y in rows if (a >= 0.5) == (b >= 0.5) and abs((0.0 + a + b) / 2 - 0.5) >= r["margin"]]
+        assert r["n"] == len(means) and r["accuracy"] == pytest.approx(np.mean([(p >= 0.5) == (y == 1) for p, y in means]))
+    assert len(got) == 7

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import wilson
@@ -85,10 +85,9 @@ def top_features(scores: DataFrame, most: int) -> list[str]:
     return sorted(r["feature"] for r in scores.orderBy(F.col("score").desc(), "feature").limit(most).collect())
 
 
-def grid(df: DataFrame, name: str, low: float, high: float, steps: int) -> DataFrame:
-    """The rows beside each of ``steps`` values from low to high: a fixed number of copies."""
-    values = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.lit(low) + i * ((high - low) / (steps - 1)))
-    return df.select("*", F.explode(values).alias(name))
+def steps(low: float, high: float, n: int) -> Column:
+    """n values from low to high."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(low) + i * ((high - low) / (n - 1)))
 
 
 def thresholds(predictions: DataFrame) -> DataFrame:
@@ -104,13 +103,18 @@ def thresholds(predictions: DataFrame) -> DataFrame:
 
 def bands(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Of each margin and side: how many rows lie beyond, their share, accuracy and Wilson bound."""
-    laid = grid(predictions, "margin", 0.02, 0.30, 57)
-    laid = laid.withColumn("side", F.explode(F.array(F.lit("both"), F.lit("long"), F.lit("short"))))
-    low, high = F.col("prob") <= F.greatest(threshold - F.col("margin"), F.lit(0.02)), F.col("prob") >= F.least(threshold + F.col("margin"), F.lit(0.98))
-    inside = F.when(F.col("side") == "both", low | high).when(F.col("side") == "long", high).otherwise(low)
+    margins = steps(0.02, 0.30, 57)
+    # a row that lies beyond a margin lies beyond all smaller ones, so rows are counted by how many they lie beyond on either side first
+    below = F.size(F.filter(margins, lambda m: F.col("prob") <= F.greatest(threshold - m, F.lit(0.02))))
+    above = F.size(F.filter(margins, lambda m: F.col("prob") >= F.least(threshold + m, F.lit(0.98))))
     hit = (F.col("prob") >= threshold) == (F.col("actual") == 1)
-    out = laid.groupBy("margin", "side").agg(F.sum(inside.cast("long")).alias("n"), F.sum((inside & hit).cast("long")).alias("hits"), F.avg(inside.cast("double")).alias("coverage"))
-    return out.select("margin", "side", "n", "coverage", (F.col("hits") / F.greatest("n", F.lit(1))).alias("accuracy"), wilson(F.col("hits"), F.col("n")).alias("wilson"))
+    counts = predictions.where("prob is not null").groupBy(below.alias("below"), above.alias("above")).agg(F.count("*").alias("rows"), F.count_if(hit).alias("hit"))
+    laid = counts.select("*", F.posexplode(margins).alias("i", "margin")).withColumn("side", F.explode(F.array(F.lit("both"), F.lit("long"), F.lit("short"))))
+    low, high = F.col("i") < F.col("below"), F.col("i") < F.col("above")
+    inside = F.when(F.col("side") == "both", low | high).when(F.col("side") == "long", high).otherwise(low)
+    part = lambda c: F.sum(F.when(inside, F.col(c)).otherwise(0))
+    out = laid.groupBy("margin", "side").agg(part("rows").alias("n"), part("hit").alias("hits"), F.sum("rows").alias("of"))
+    return out.select("margin", "side", "n", (F.col("n") / F.col("of")).alias("coverage"), (F.col("hits") / F.greatest("n", F.lit(1))).alias("accuracy"), wilson(F.col("hits"), F.col("n")).alias("wilson"))
 
 
 def acceptance(metrics: DataFrame) -> DataFrame:
@@ -174,10 +178,14 @@ def agreement(rows: DataFrame, probs: list[str], margins: int = 61) -> DataFrame
     up = [F.col(p) >= 0.5 for p in probs]
     agree = reduce(lambda a, b: a & b, up) | reduce(lambda a, b: a & b, [~u for u in up])
     mean = sum((F.col(p) for p in probs), F.lit(0.0)) / len(probs)
-    laid = grid(rows.select("label", agree.alias("agree"), mean.alias("prob")), "margin", 0.0, 0.3, margins)
-    inside = F.col("agree") & (F.abs(F.col("prob") - 0.5) >= F.col("margin"))
+    values = steps(0.0, 0.3, margins)
+    rows = rows.select("label", agree.alias("agree"), mean.alias("prob"))
     hit = (F.col("prob") >= 0.5) == (F.col("label") == 1)
-    return laid.groupBy("margin").agg(F.sum(inside.cast("long")).alias("n"), F.avg(F.when(inside, hit.cast("double"))).alias("accuracy"))
+    passed = F.when(F.col("agree"), F.size(F.filter(values, lambda m: F.abs(F.col("prob") - 0.5) >= m))).otherwise(0)
+    counts = rows.groupBy(passed.alias("passed")).agg(F.count("*").alias("rows"), F.count_if(hit).alias("hit"), F.count(hit).alias("known"))
+    laid = counts.select("*", F.posexplode(values).alias("i", "margin"))
+    part = lambda c: F.sum(F.when(F.col("i") < F.col("passed"), F.col(c)).otherwise(0))
+    return laid.groupBy("margin").agg(part("rows").alias("n"), (part("hit") / F.nullif(part("known"), F.lit(0))).alias("accuracy"))
 
 
 def regimes(rows: DataFrame, features: list[str], cuts: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
