@@ -486,6 +486,25 @@ def test_a_very_long_word_is_encoded_whole():
         assert c.encode([word])[0].tolist() == want.encode(word, add_special_tokens=False).ids
 
 
+@pytest.mark.skipif(importlib.util.find_spec("public_tokenizers") is None, reason="no vocabulary files here")
+def test_words_merged_together_are_those_merged_alone():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(5)
+    want, c = Tokenizer.from_file(path), bpe.Codec(open(path).read())
+    letters, strange = list("aeinorst"), list("abcABC019'.,!<>| \n\t\x00\x1c\x1f\x7f\x85\xa0éÉßİıſΣσςÅДжЯ日한👍🏽\u0300\u0345\u200d½²٣न\u052f\u0530")
+    rows = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 2 * bpe._TOGETHER, 3000)] + ["a" * n for n in range(1, 2 * bpe._TOGETHER)]
+    rows += ["".join(rng.choice(strange, n)) for n in rng.integers(0, 60, 3000)]
+    for k in range(0, len(rows), 700):
+        assert [x.tolist() for x in c.encode(rows[k : k + 700])] == [x.ids for x in want.encode_batch(rows[k : k + 700], add_special_tokens=False)]
+    marked = [w + c.mark for w in rows[:500]]
+    ids, bounds = c.merge(marked)
+    for k, w in enumerate(marked):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == c.merged(c.symbols([w])[0].tolist())
+    assert len(c.merge([])[0]) == 0 and c.encode([]) == [] and [len(x) for x in c.encode([None, "", " \n"])] == [0, 0, 0]
+
+
 def test_successors_split_hot_ids(spark):
     rng = np.random.default_rng(9)
     rows = [(rng.choice([None, 5, 5, int(rng.integers(1000))]), f"t {i}") for i in range(1500)]
