@@ -9,7 +9,7 @@ of n copies gives fewer than n links.
 
 How fingerprints are dealt depends on the budget.  Of 64 bits with a small budget, two within it agree on one of
 ``budget + 1`` blocks of bits, so each is dealt out once per block and no link is lost.  A budget that Jaccard similarities
-of 0.8 need is far too large for that: there fingerprints have 256 bits and are dealt by bands of MinHash values of the
+of 0.8 need is far too large for that: there fingerprints have 512 bits and are dealt by bands of MinHash values of the
 same shingles, which brings nearly all pairs of that similarity together.  A group of more than ``split`` fingerprints is
 cut into parts, and pairs of parts are tasks of their own.
 """
@@ -30,8 +30,8 @@ from .textblocks import BASES, U64, mix
 
 SEED = 42
 SPLIT = 1 << 18
-#: Bits that may differ of 64, and of the 256 that near copies of a Jaccard similarity of 0.8 or more are looked for with.
-BUDGET, WIDE_BUDGET, WIDE = 4, 44, 4
+#: Bits that may differ of 64, and of the 512 that near copies of a Jaccard similarity of 0.8 or more are looked for with.
+BUDGET, WIDE_BUDGET, WIDE = 4, 88, 8
 #: MinHash bands and the values in each: a pair of similarity 0.8 shares a band with a probability of 0.997.
 BANDS, ROWS = 8, 3
 _FRONT = 1 << 17
@@ -333,7 +333,7 @@ def keep_first(docs: DataFrame, width: int = 5, budget: int = WIDE_BUDGET, split
     """Of each component the row of least doc_id (null last), and of those the one whose text's hash is least; of rows that are
     equal in both, one.  So rows that share a doc_id, or have none, stay where nothing links them.  Columns stay as they are.
 
-    Components are those of 256-bit fingerprints of ``width``-word shingles, ``budget`` bits apart at most.  Documents without
+    Components are those of 512-bit fingerprints of ``width``-word shingles, ``budget`` bits apart at most.  Documents without
     words, null texts too, are linked with one another, so one of those stays; a very long text is read whole; an empty
     table gives an empty one."""
     # null as a number, told from a real one by the mark, so that join and distinct deal the texts out once, by one key
