@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from windrow.api import Cache, Engine, SearchRequest
 from windrow.functions import rolling as R
 from windrow.operators import catalog, index, market, models, normalise, probe, search, selection, windows
+from windrow.plans import QUERIES, similarity
 from windrow.sources import level2, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -69,6 +71,42 @@ def test_dtw(spark):
     assert [got[k] for k in range(len(pairs))] == pytest.approx([warped(a, b) for a, b in pairs])
 
 
+def test_dtw_of_odd_arrays(spark):
+    """Arrays of many lengths, with trailing zeros, null rows and a long one, in batches."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: np.r_[rng.random(rng.integers(0, n)), np.zeros(rng.integers(0, 3))].tolist()
+    pairs = [(draw(9), draw(9)) for _ in range(300)] + [(draw(70), draw(70)) for _ in range(5)] + [(rng.random(400).tolist(), [1.0, 0.0, 2.0])]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)] + [(-1, None, [1.0]), (-2, [1.0], None)], "k int, a array<double>, b array<double>").repartition(2)
+    got = {r["k"]: r["d"] for r in df.select("k", search.dtw_distance(df["a"], df["b"]).alias("d")).collect()}
+    cut = lambda a: a[: max((i + 1 for i, x in enumerate(a) if x), default=0)]
+    assert [got[k] for k in range(len(pairs))] == [folded(cut(a), cut(b)) for a, b in pairs]
+    assert got[-1] is None and got[-2] is None
+    assert df.limit(0).select(search.dtw_distance(df["a"], df["b"])).collect() == []
+
+
+@pytest.mark.parametrize("name", ["balanced_score"])
+def test_scores_of_many_pairs_are_quick(spark, monkeypatch, name):
+    """Arrays are not made anew for each cell of a table."""
+    array = lambda seed, n: F.array(*(F.col("id") % (seed + i) / 7.0 + 0.1 for i in range(n)))
+    parts = {"price_path": 10, "candle_geometry": 15, "volume_liquidity": 15}
+    pairs = spark.range(0, 60_000, 1, 1).select(F.col("id").cast("string").alias("symbol"), F.lit(DAY).alias("start_date"), F.lit(DAY).alias("end_date"), *(array(s + n, n).alias(f"{q}{c}") for s, q in ((3, ""), (40, "q_")) for c, n in parts.items()))
+    monkeypatch.setattr(similarity, "_pairs", lambda spark, d: pairs)
+    start = time.monotonic()
+    QUERIES[name](spark, "").write.format("noop").mode("overwrite").save()
+    assert time.monotonic() - start < 10
+
+
+def folded(a, b):
+    """As ``warped``, by its table."""
+    n, m = len(a), len(b)
+    band, cost = max(abs(n - m), max(n, m) // 4, 2), np.full((n + 1, m + 1), np.inf)
+    cost[0, 0] = 0.0
+    for i in range(1, n + 1):
+        for j in range(max(1, i - band), min(m, i + band) + 1):
+            cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
+    return cost[n, m] / (n + m) if n and m else float("inf")
+
+
 def test_names_and_suggestions(spark):
     universe = spark.createDataFrame([("000001", "Alpha"), ("000002", "Beta"), ("600036", "Alpha Two"), ("000333", "Gamma 0003"), ("999999", "Beta")], "symbol string, name string")
     cached = universe.where("symbol <> '000002'").select("symbol")

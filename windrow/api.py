@@ -101,7 +101,7 @@ class Engine:
         own = F.col("symbol") == F.col("q_symbol") if request.scope == "all" else F.lit(True)
         near = pairs.where(~(own & (shared > search.OVERLAP_DAYS))).withColumn("l2", search.euclid(F.concat(*parts), F.concat(*(f"q_{p}" for p in parts)))).orderBy("l2", "symbol", "end_date").limit(request.recall_k)
         levels = lambda c: F.slice(c, 1, request.window_size)
-        distance = {p: search.rmse(search.trimmed(F.col(p)), search.trimmed(F.col(f"q_{p}"))) for p in parts[1:]} | {"price_path": search.dtw_distance(search.trimmed(levels("price_path")), search.trimmed(levels("q_price_path")))}
+        distance = {p: search.rmse(F.col(p), F.col(f"q_{p}")) for p in parts[1:]} | {"price_path": search.dtw_distance(levels("price_path"), levels("q_price_path"))}
         scored = near.withColumn("distance", search.balanced(distance)).withColumn("score", search.similarity(F.col("distance")))
         known = self.forward().where(F.col("horizon") == 10).select("symbol", F.col("date").alias("end_date"), F.col("return_pct").isNotNull().alias("has_forward"))
         picked = known.join(F.broadcast(scored.select("symbol", "start_date", "end_date", "distance", "score")), ["symbol", "end_date"])  # recall_k rows

@@ -7,8 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.rolling import ahead, ordered
 from .windows import total
@@ -48,10 +51,66 @@ def trimmed(a: Column) -> Column:
     return F.slice(a, F.lit(1), kept)
 
 
+def _pairs(kind: str):
+    """Arrow UDF over two columns of arrays, ``rmse`` or ``dtw``: a batch's arrays become matrices with a column a row, so each step is taken
+    for all rows at once.  Both trim trailing zeros first; missing elements are 0.  All is nested, so that workers need no copy of this package."""
+
+    def table(x: pa.ListArray, start: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions by rows, padded with zeros, and each row's length without trailing zeros."""
+        ends = x.offsets.to_numpy()[start : start + rows + 1]
+        values, size = pc.fill_null(x.values, 0.0).to_numpy(zero_copy_only=False), np.diff(ends)
+        wide = np.arange(size.max())
+        out = np.zeros((rows, len(wide)))
+        out[wide < size[:, None]] = values[ends[0] : ends[-1]]
+        return np.ascontiguousarray(out.T), ((out != 0) * (wide + 1)).max(1, initial=0)
+
+    def rmse(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+        both = np.zeros((2, max(len(a), len(b)), len(n)))
+        both[0, : len(a)], both[1, : len(b)] = a, b
+        squares = np.zeros(len(n))
+        for x, y in zip(*both):
+            squares += (x - y) * (x - y)
+        return np.sqrt(squares / np.maximum(n, m))
+
+    def dtw(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+        band = np.maximum(np.abs(n - m), np.maximum(np.maximum(n, m) // 4, 2))
+        reach, out = int(band.max()), np.full(len(n), np.inf)
+        before = np.full((len(b) + 1, len(n)), np.inf)
+        before[0] = 0.0
+        for i in range(1, len(a) + 1):
+            now = np.full_like(before, np.inf)
+            for j in range(max(1, i - reach), min(len(b), i + reach) + 1):
+                cost = np.abs(a[i - 1] - b[j - 1]) + np.fmin(np.fmin(before[j], now[j - 1]), before[j - 1])
+                now[j] = np.where(abs(i - j) <= band, cost, np.inf)
+            last = np.flatnonzero(n == i)
+            out[last] = now[m[last], last]
+            before = now
+        return out / (n + m)
+
+    score = {"rmse": rmse, "dtw": dtw}[kind]
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, longest = np.empty(len(a)), max((np.diff(x.offsets.to_numpy()).max(initial=0) for x in (a, b)))
+        step = max(1, 2**19 // max(1, int(longest)))  # some megabytes a matrix, however long the arrays
+        for start in range(0, len(a), step):
+            rows = min(step, len(a) - start)
+            (x, n), (y, m) = table(a, start, rows), table(b, start, rows)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[start : start + rows] = np.where((n == 0) | (m == 0), np.inf, score(x, n, y, m))
+        return pa.array(out, mask=~np.asarray(pc.and_(a.is_valid(), b.is_valid())))
+
+    return F.arrow_udf(run, DoubleType())
+
+
 def rmse(a: Column, b: Column) -> Column:
-    """Of two arrays without trailing zeros, the shorter padded with zeros; infinite where one has no value."""
-    d = F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), float("inf")).otherwise(F.sqrt(total(F.transform(d, lambda x: x * x)) / F.size(d)))
+    """Of two arrays without their trailing zeros, the shorter padded with zeros; infinite where one has no value."""
+    return _pairs("rmse")(a.cast("array<double>"), b.cast("array<double>"))
+
+
+def dtw_distance(a: Column, b: Column) -> Column:
+    """Banded dynamic time warping of two arrays without their trailing zeros, by absolute costs, over the sum of their lengths; infinite for
+    an empty side.  Two rows of the table of costs are kept."""
+    return _pairs("dtw")(a.cast("array<double>"), b.cast("array<double>"))
 
 
 def balanced(distances: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
@@ -67,25 +126,6 @@ def similarity(distance: Column) -> Column:
     return F.when(distance < float("inf"), 1 / (1 + F.greatest(distance, F.lit(0.0)))).otherwise(0.0)
 
 
-def dtw_distance(a: Column, b: Column) -> Column:
-    """Banded dynamic time warping of two arrays with absolute costs, over the sum of their lengths; infinite for an empty side.
-
-    The table of costs is folded row by row, so a pair needs memory for one row."""
-    n, m, inf = F.size(a), F.size(b), F.lit(float("inf"))
-    band = F.greatest(F.abs(n - m), F.floor(F.greatest(n, m) / 4).cast("int"), F.lit(2))
-
-    def row(before: Column, i: Column) -> Column:
-        def cell(now: Column, j: Column) -> Column:
-            cost = F.abs(F.element_at(a, i) - F.element_at(b, j)) + F.least(F.get(before, j), F.element_at(now, -1), F.get(before, j - 1))
-            return F.concat(now, F.array(F.when(F.abs(i - j) <= band, cost).otherwise(inf)))
-
-        return F.aggregate(F.sequence(F.lit(1), m), F.array(inf), cell)
-
-    first = F.transform(F.sequence(F.lit(0), m), lambda j: F.when(j == 0, 0.0).otherwise(inf))
-    table = F.aggregate(F.sequence(F.lit(1), n), first, row)
-    return F.when((n == 0) | (m == 0), inf).otherwise(F.element_at(table, -1) / (n + m))
-
-
 def forward(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """symbol, date, horizon, return_pct, mfe_pct, mdd_pct over the next rows; null where there are too few.
 

@@ -170,7 +170,7 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
     o = S.overlap_days(F.col("start_date"), F.col("end_date"), F.col("q_start_date"), F.col("q_end_date"))
     far = pairs.where(~((F.col("symbol") == F.col("q_symbol")) & (o > S.OVERLAP_DAYS)))
     near = far.withColumn("l2", S.euclid(F.concat("price_path", "candle_geometry"), F.concat("q_price_path", "q_candle_geometry"))).orderBy("l2", "symbol", "end_date").limit(200)
-    b = S.balanced({"price_path": _path(5), "candle_geometry": S.rmse(S.trimmed(F.col("candle_geometry")), S.trimmed(F.col("q_candle_geometry")))})
+    b = S.balanced({"price_path": _path(5), "candle_geometry": S.rmse(F.col("candle_geometry"), F.col("q_candle_geometry"))})
     scored = near.select("symbol", "start_date", "end_date", b.alias("distance"), S.similarity(b).alias("score"))
     best = S.best_per(scored, ["symbol"], [F.col("score").desc(), F.col("distance"), F.col("end_date")], 1)
     return rounded(best.orderBy(F.col("score").desc(), "distance", "symbol", "end_date").limit(10).select("symbol", "start_date", "end_date", "distance", "score"))

@@ -238,12 +238,12 @@ _SHAPE = "(case when price < 'inf' then 0.45 * price else 0 end + case when cand
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     p = _pairs(spark, d)
     part = {"candle_geometry": "candle", "volume_liquidity": "vol"}
-    return p.select("symbol", "start_date", "end_date", _path(5).alias("price"), *(S.rmse(S.trimmed(F.col(c)), S.trimmed(F.col(f"q_{c}"))).alias(a) for c, a in part.items()))
+    return p.select("symbol", "start_date", "end_date", _path(5).alias("price"), *(S.rmse(F.col(c), F.col(f"q_{c}")).alias(a) for c, a in part.items()))
 
 
 def _path(size: int):
     """How far two windows' price levels are apart, by time warping."""
-    return S.dtw_distance(S.trimmed(F.slice("price_path", 1, size)), S.trimmed(F.slice("q_price_path", 1, size)))
+    return S.dtw_distance(F.slice("price_path", 1, size), F.slice("q_price_path", 1, size))
 
 
 @query(f"with {_PAIR}, {_SC} select symbol, end_date, {_r('price', 'candle', 'vol')} from sc")
@@ -277,7 +277,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     o = S.overlap_days(F.col("start_date"), F.col("end_date"), F.col("q_start_date"), F.col("q_end_date"))
     far = p.where(~((F.col("symbol") == F.col("q_symbol")) & (o > S.OVERLAP_DAYS)))
     near = far.withColumn("l2", S.euclid(F.concat("price_path", "candle_geometry"), F.concat("q_price_path", "q_candle_geometry"))).orderBy("l2", "symbol", "end_date").limit(200)
-    b = S.balanced({"price_path": _path(5), "candle_geometry": S.rmse(S.trimmed(F.col("candle_geometry")), S.trimmed(F.col("q_candle_geometry")))})
+    b = S.balanced({"price_path": _path(5), "candle_geometry": S.rmse(F.col("candle_geometry"), F.col("q_candle_geometry"))})
     return near.select("symbol", "start_date", "end_date", b.alias("distance"), S.similarity(b).alias("score"))
 
 
