@@ -123,6 +123,13 @@ def test_volume_scores_as_in_sql(spark):
     assert [got[k] for k in range(len(rows))] == [con.execute(sql, [xs] * 4).fetchall()[0][0] for xs in turnovers()]
 
 
+def test_recall_summaries_as_in_sql(spark):
+    rows = [(k, xs) for k, xs in enumerate(turnovers())]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame(rows, "k int, a array<double>").select("k", windows.summary(F.col("a")).alias("s")).collect()}
+    con = duckdb.connect()
+    assert [got[k] for k, _ in rows] == [list(con.execute("select list_avg(a), list_stddev_pop(a), a[1], a[5] from (select ?::double[] as a)", [xs]).fetchall()[0]) for _, xs in rows]
+
+
 def test_names_and_suggestions(spark):
     universe = spark.createDataFrame([("000001", "Alpha"), ("000002", "Beta"), ("600036", "Alpha Two"), ("000333", "Gamma 0003"), ("999999", "Beta")], "symbol string, name string")
     cached = universe.where("symbol <> '000002'").select("symbol")
