@@ -130,6 +130,17 @@ def test_recall_summaries_as_in_sql(spark):
     assert [got[k] for k, _ in rows] == [list(con.execute("select list_avg(a), list_stddev_pop(a), a[1], a[5] from (select ?::double[] as a)", [xs]).fetchall()[0]) for _, xs in rows]
 
 
+def test_arrays_are_rounded_as_in_sql(spark):
+    """Ratios of prices that end on half a digit, which Spark's round takes the other way, and odd values."""
+    closes = [25067.52 / 34, 7436.16 / 5, 25231.36 / 44, 25863.04 / 5, 1520.64 / 27]
+    path = windows.price_path(F.array(*(F.struct(F.lit(c).alias("close")) for c in closes)))
+    odd = [0.0000005, -0.0000005, 0.5e-6 - 1e-22, 1.5e-6, 2.5e-6, -2.5e-6, 8.0203125, 1e300, 1e305, -0.0, 4503599627.370497, float("inf"), float("-inf"), None]
+    df = spark.range(1).select(F.concat(path, F.array(*(F.lit(x).cast("double") for x in odd))).alias("x"))
+    raw, got = df.select("x", similarity.arr("x", "y")).first()
+    con = duckdb.connect()
+    assert got == con.execute("select list_transform(?::double[], lambda v: round(v, 6) + 0.0)", [raw]).fetchall()[0][0]
+
+
 def test_names_and_suggestions(spark):
     universe = spark.createDataFrame([("000001", "Alpha"), ("000002", "Beta"), ("600036", "Alpha Two"), ("000333", "Gamma 0003"), ("999999", "Beta")], "symbol string, name string")
     cached = universe.where("symbol <> '000002'").select("symbol")

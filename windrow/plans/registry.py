@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def six(x: Column) -> Column:
+    """A double rounded as the SQL's engine does: scaled, then to the nearest whole number, halves away from 0.  Spark's own ``round`` goes by
+    the decimals that a double is printed with, which differs where these end on half a digit."""
+    scaled = F.abs(x * 10.0**DIGITS)
+    whole = F.rint(scaled)
+    found = F.signum(x) * (whole + F.when(scaled - whole == 0.5, 1.0).otherwise(0.0)) / 10.0**DIGITS
+    return F.when(F.abs(found) < float("inf"), found).otherwise(x) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, *but: str) -> DataFrame:
     """Doubles rounded, except the columns named; -0.0 becomes 0.0."""
     return df.select(*((F.round(F.col(f"`{c}`"), DIGITS) + F.lit(0.0)).alias(c) if t == "double" and c not in but else F.col(f"`{c}`") for c, t in df.dtypes))

@@ -11,7 +11,7 @@ from ..operators import normalise as N
 from ..operators import search as S
 from ..operators import windows as W
 from ..sources import bars as B
-from .registry import query, rounded
+from .registry import query, rounded, six
 
 
 def norm(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _l(name: str, to: str | None = None) -> str:
 
 
 def arr(name: str, to: str | None = None):
-    return F.transform(name, lambda v: F.round(v, 6) + F.lit(0.0)).alias(to or name)
+    return F.transform(name, six).alias(to or name)
 
 
 @query(f"select date, {_r('market_return_mean', 'market_volatility_5', 'market_trend_5')} from market")
