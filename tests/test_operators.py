@@ -85,7 +85,7 @@ def test_dtw_of_odd_arrays(spark):
     assert df.limit(0).select(search.dtw_distance(df["a"], df["b"])).collect() == []
 
 
-@pytest.mark.parametrize("name", ["balanced_score", "rmse_components"])
+@pytest.mark.parametrize("name", ["balanced_score", "rmse_components", "shape_score"])
 def test_scores_of_many_pairs_are_quick(spark, monkeypatch, name):
     """Arrays are not made anew for each cell of a table."""
     array = lambda seed, n: F.array(*(F.col("id") % (seed + i) / 7.0 + 0.1 for i in range(n)))
