@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from windrow.api import Cache, Engine, SearchRequest
 from windrow.functions import rolling as R
 from windrow.operators import catalog, index, market, models, normalise, probe, search, selection, windows
-from windrow.plans import QUERIES, similarity
+from windrow.plans import QUERIES, registry, similarity
 from windrow.sources import level2, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -130,6 +130,47 @@ def test_recall_summaries_as_in_sql(spark):
     assert [got[k] for k, _ in rows] == [list(con.execute("select list_avg(a), list_stddev_pop(a), a[1], a[5] from (select ?::double[] as a)", [xs]).fetchall()[0]) for _, xs in rows]
 
 
+def drawn(spark):
+    """Bars of four symbols, one of them too short for a window, with a constant stretch and flat days."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, n in enumerate((40, 3, 5, 23)):
+        for i in range(n):
+            c, o = (rng.integers(90_000, 100_000, 2) / rng.integers(1, 50, 2)).tolist()
+            flat = i % 7 == 3
+            volume = 10.0 if i < 6 else float(rng.integers(0, 300))
+            rows.append((f"{k:06d}", DAY + dt.timedelta(i), *((c,) * 4 if flat else (o, max(o, c) + rng.random(), min(o, c) - rng.random(), c)), volume, volume * 0.1))
+    return normalise.bars(spark.createDataFrame(rows, "symbol string, date date, open double, high double, low double, close double, volume double, turnover double"))
+
+
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_vectors_are_encoded_windows(spark, size):
+    """As made from arrays of bars, also where a batch ends within a window; logarithms may differ in their last bits."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = windows.vectors(drawn(spark), size, (*windows.SOURCES, "recall")).orderBy("symbol", "end_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = windows.recall_vector(windows.encoded(windows.sliding(drawn(spark), size)), size).orderBy("symbol", "end_idx").collect()
+    keys = ("symbol", "start_idx", "end_idx", "start_date", "end_date", "price_path", "candle_geometry")
+    assert len(got) == len(want) > 0 and [[r[k] for k in keys] for r in got] == [[r[k] for k in keys] for r in want]
+    for g, w in zip(got, want):
+        assert g["volume_liquidity"] == pytest.approx(w["volume_liquidity"], abs=1e-9) and g["recall"] == pytest.approx(w["recall"], abs=1e-9)
+
+
+def test_recall_as_in_sql_to_the_last_bit(spark):
+    """Logarithms of volumes too, which Java takes otherwise."""
+    con = duckdb.connect()
+    norm = con.from_df(drawn(spark).toPandas())  # noqa: F841
+    sums = ", ".join(similarity._SUM(f"list_slice(volume_liquidity, {1 + 5 * i}, {5 + 5 * i})") for i in range(3))
+    views = ", ".join(f"{v} as ({registry.VIEWS[v]})" for v in ("w5", "enc5"))
+    sql = registry._zscored(f"with {views} select symbol, end_idx, volume_liquidity, list_concat(price_path, candle_geometry, {sums}) from enc5 order by 1, 2")
+    want = con.execute(sql).fetchall()
+    got = windows.vectors(drawn(spark), 5, ("volume_liquidity", "recall")).orderBy("symbol", "end_idx").select("symbol", "end_idx", "volume_liquidity", "recall").collect()
+    assert len(want) == 36 + 1 + 19 and [tuple(r) for r in got] == want
+
+
 def test_arrays_are_rounded_as_in_sql(spark):
     """Ratios of prices that end on half a digit, which Spark's round takes the other way, and odd values."""
     closes = [25067.52 / 34, 7436.16 / 5, 25231.36 / 44, 25863.04 / 5, 1520.64 / 27]

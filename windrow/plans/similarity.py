@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..operators import context as C
 from ..operators import normalise as N
 from ..operators import search as S
 from ..operators import windows as W
 from ..sources import bars as B
-from .registry import query, rounded, six
+from .registry import DIGITS, query, rounded
 
 
 def norm(spark: SparkSession, d: str) -> DataFrame:
@@ -30,8 +32,24 @@ def _l(name: str, to: str | None = None) -> str:
     return f"list_transform({name}, lambda v: round(v, 6) + 0.0) as {to or name}"
 
 
+def _six():
+    """Arrow UDF: an array's doubles rounded as ``registry.six`` does.  All is nested, so that workers need no copy of this package."""
+    scale = 10.0**DIGITS
+
+    def run(a: pa.Array) -> pa.Array:
+        x = a.values.to_numpy(zero_copy_only=False)
+        with np.errstate(invalid="ignore", over="ignore"):
+            scaled = np.abs(x * scale)
+            whole = np.rint(scaled)
+            found = np.sign(x) * (whole + (scaled - whole == 0.5)) / scale
+        out = pa.array(np.where(np.abs(found) < np.inf, found, x) + 0.0, mask=np.asarray(a.values.is_null()))
+        return pa.ListArray.from_arrays(a.offsets, out, mask=a.is_null() if a.null_count else None)
+
+    return F.arrow_udf(run, ArrayType(DoubleType()))
+
+
 def arr(name: str, to: str | None = None):
-    return F.transform(name, six).alias(to or name)
+    return _six()(F.col(name)).alias(to or name)
 
 
 @query(f"select date, {_r('market_return_mean', 'market_volatility_5', 'market_trend_5')} from market")
@@ -97,23 +115,23 @@ def window_quality(spark: SparkSession, d: str) -> DataFrame:
     return rounded(W.quality(b.withColumn("volume", F.when(F.day("date") % 9 == 0, 0.0).otherwise(F.col("volume"))), 5))
 
 
-def _enc(spark: SparkSession, d: str) -> DataFrame:
-    return W.encoded(W.sliding(norm(spark, d), 5))
+def _enc(spark: SparkSession, d: str, *parts: str) -> DataFrame:
+    return W.vectors(norm(spark, d), 5, parts or tuple(W.SOURCES))
 
 
 @query(f"select symbol, end_date, {_l('price_path')} from enc5")
 def enc_price_path(spark: SparkSession, d: str) -> DataFrame:
-    return _enc(spark, d).select("symbol", "end_date", arr("price_path"))
+    return _enc(spark, d, "price_path").select("symbol", "end_date", arr("price_path"))
 
 
 @query(f"select symbol, end_date, {_l('candle_geometry')} from enc5")
 def enc_candle(spark: SparkSession, d: str) -> DataFrame:
-    return _enc(spark, d).select("symbol", "end_date", arr("candle_geometry"))
+    return _enc(spark, d, "candle_geometry").select("symbol", "end_date", arr("candle_geometry"))
 
 
 @query(f"select symbol, end_date, {_l('volume_liquidity')} from enc5")
 def enc_volume(spark: SparkSession, d: str) -> DataFrame:
-    return _enc(spark, d).select("symbol", "end_date", arr("volume_liquidity"))
+    return _enc(spark, d, "volume_liquidity").select("symbol", "end_date", arr("volume_liquidity"))
 
 
 @query("""with c as (select symbol, date, industry, coalesce(market_return_mean, 0) as a, coalesce(market_trend_5, 0) as b, coalesce(market_volatility_5, 0) as c, coalesce(industry_return_mean, 0) as d, coalesce(industry_return_trend_5, 0) as e
@@ -133,7 +151,7 @@ _SUM = lambda a: f"[list_avg({a}), list_stddev_pop({a}), {a}[1], {a}[5]]"  # noq
 
 @query(f"select symbol, end_date, list_transform(list_concat(price_path, candle_geometry, {', '.join(_SUM(f'list_slice(volume_liquidity, {1 + 5 * i}, {5 + 5 * i})') for i in range(3))}), lambda v: round(v, 6) + 0.0) as recall from enc5")
 def recall_projection(spark: SparkSession, d: str) -> DataFrame:
-    return W.recall_vector(_enc(spark, d), 5).select("symbol", "end_date", arr("recall"))
+    return _enc(spark, d, "recall").select("symbol", "end_date", arr("recall"))
 
 
 @query("select count(*) as n_windows, count(distinct symbol) as n_symbols, min(start_date) as first, max(end_date) as last, max(len(price_path) + len(candle_geometry) + len(volume_liquidity)) as dimensions from enc5")
@@ -191,7 +209,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     e, bars = _enc(spark, d), norm(spark, d)
     # only the first symbol's windows are made to find the query
     own = bars.join(F.broadcast(B.daily(spark, d).agg(F.min("symbol").alias("symbol"))), "symbol", "left_semi")  # one row
-    q = W.encoded(W.sliding(own, 5).orderBy("symbol", F.col("end_date").desc()).limit(1))
+    q = W.vectors(own, 5).orderBy("symbol", F.col("end_date").desc()).limit(1)
     one = q.select(*(F.col(c).alias(f"q_{c}") for c in ("symbol", "start_date", "end_date", "price_path", "candle_geometry", "volume_liquidity")))
     return e.crossJoin(F.broadcast(one))
 
