@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests import oracle
 from windrow.api import Cache, Engine, SearchRequest
 from windrow.functions import rolling as R
 from windrow.operators import catalog, index, market, models, normalise, probe, search, selection, windows
-from windrow.plans import QUERIES, registry, similarity
+from windrow.plans import ORACLES, QUERIES, registry, similarity
 from windrow.sources import level2, sinks
 
 DAY = dt.date(2024, 1, 1)
@@ -97,6 +98,26 @@ def test_scores_of_many_pairs_are_quick(spark, monkeypatch, name):
     assert time.monotonic() - start < 10
 
 
+@pytest.mark.parametrize("name", ["rmse_components"])
+def test_scores_deal_bars_once(spark, small, name):
+    """One shuffle by symbol makes days and windows; nothing is evaluated element by element, as lambda functions are."""
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    windows_side = plan[: plan.index("BroadcastExchange")]
+    assert "lambda" not in plan and windows_side.count("Exchange hashpartitioning(symbol") == 1
+
+
+@pytest.mark.parametrize("name", ["rmse_components"])
+def test_query_window_where_the_first_symbol_has_none(spark, small, tmp_path, name):
+    con = duckdb.connect()
+    for t in oracle.TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    con.execute(f"create view l as select * from '{small}/lineitem.parquet'")
+    few = "select distinct cast(l_shipdate as date) from l where l_suppkey = (select min(l_suppkey) from l) order by 1 limit 4"
+    con.execute(f"copy (select * from l where l_suppkey <> (select min(l_suppkey) from l) or cast(l_shipdate as date) in ({few})) to '{tmp_path}/lineitem.parquet'")
+    oracle.same(spark, oracle.connect(str(tmp_path)), QUERIES[name], ORACLES[name], str(tmp_path))
+
+
 def folded(a, b):
     """As ``warped``, by its table."""
     n, m = len(a), len(b)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.rolling import ahead, ordered
 from .windows import total
@@ -52,7 +52,7 @@ def trimmed(a: Column) -> Column:
 
 
 def _pairs(kind: str):
-    """Arrow UDF over two columns of arrays, ``rmse`` or ``dtw``: a batch's arrays become matrices with a column a row, so each step is taken
+    """Function of two Arrow columns of arrays, ``rmse`` or ``dtw``: a batch's arrays become matrices with a column a row, so each step is taken
     for all rows at once.  Both trim trailing zeros first; missing elements are 0.  All is nested, so that workers need no copy of this package."""
 
     def table(x: pa.ListArray, start: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +60,15 @@ def _pairs(kind: str):
         ends = x.offsets.to_numpy()[start : start + rows + 1]
         values, size = pc.fill_null(x.values, 0.0).to_numpy(zero_copy_only=False), np.diff(ends)
         wide = np.arange(size.max())
-        out = np.zeros((rows, len(wide)))
-        out[wide < size[:, None]] = values[ends[0] : ends[-1]]
-        return np.ascontiguousarray(out.T), ((out != 0) * (wide + 1)).max(1, initial=0)
+        if (size == len(wide)).all():
+            out = np.ascontiguousarray(values[ends[0] : ends[-1]].reshape(rows, len(wide)).T)
+        else:
+            out = np.zeros((len(wide), rows))
+            out.T[wide < size[:, None]] = values[ends[0] : ends[-1]]
+        kept = np.zeros(rows, np.int64)
+        for i, x in enumerate(out, 1):
+            kept[x != 0] = i
+        return out, kept
 
     def rmse(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
         both = np.zeros((2, max(len(a), len(b)), len(n)))
@@ -99,18 +105,32 @@ def _pairs(kind: str):
                 out[start : start + rows] = np.where((n == 0) | (m == 0), np.inf, score(x, n, y, m))
         return pa.array(out, mask=~np.asarray(pc.and_(a.is_valid(), b.is_valid())))
 
-    return F.arrow_udf(run, DoubleType())
+    return run
+
+
+def scored(pairs: DataFrame, keep: list[str], scores: dict[str, tuple[str, Column, Column]]) -> DataFrame:
+    """The columns kept and, by name, ``rmse`` or ``dtw`` of two arrays: as the functions of that name, but with no row held back in the JVM."""
+    kinds = [(name, _pairs(kind)) for name, (kind, _, _) in scores.items()]
+    sides = [x.cast("array<double>").alias(f"__{side}{name}") for name, (_, a, b) in scores.items() for side, x in (("a", a), ("b", b))]
+    rows = pairs.select(*keep, *sides)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [score(b.column(f"__a{name}"), b.column(f"__b{name}")) for name, score in kinds]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *found], [*keep, *(name for name, _ in kinds)])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in keep), *(StructField(name, DoubleType()) for name, _ in kinds)]))
 
 
 def rmse(a: Column, b: Column) -> Column:
     """Of two arrays without their trailing zeros, the shorter padded with zeros; infinite where one has no value."""
-    return _pairs("rmse")(a.cast("array<double>"), b.cast("array<double>"))
+    return F.arrow_udf(_pairs("rmse"), DoubleType())(a.cast("array<double>"), b.cast("array<double>"))
 
 
 def dtw_distance(a: Column, b: Column) -> Column:
     """Banded dynamic time warping of two arrays without their trailing zeros, by absolute costs, over the sum of their lengths; infinite for
     an empty side.  Two rows of the table of costs are kept."""
-    return _pairs("dtw")(a.cast("array<double>"), b.cast("array<double>"))
+    return F.arrow_udf(_pairs("dtw"), DoubleType())(a.cast("array<double>"), b.cast("array<double>"))
 
 
 def balanced(distances: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:

@@ -13,11 +13,11 @@ from ..operators import normalise as N
 from ..operators import search as S
 from ..operators import windows as W
 from ..sources import bars as B
-from .registry import DIGITS, query, rounded
+from .registry import DIGITS, query, rounded, six
 
 
 def norm(spark: SparkSession, d: str) -> DataFrame:
-    return N.bars(B.daily(spark, d))
+    return N.bars(B.daily(spark, d, by_symbol=True))
 
 
 def norm_industry(spark: SparkSession, d: str) -> DataFrame:
@@ -206,12 +206,13 @@ _PAIR = "q as (select * from enc5 where symbol = (select min(symbol) from enc5)
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every window beside the query window: the last one of the first symbol."""
-    e, bars = _enc(spark, d), norm(spark, d)
-    # only the first symbol's windows are made to find the query
-    own = bars.join(F.broadcast(B.daily(spark, d).agg(F.min("symbol").alias("symbol"))), "symbol", "left_semi")  # one row
+    # Only the first symbols' windows are made to find the query: those up to the first with days in five classes of 63, and thus five days.
+    items, seen = B.items(spark, d), F.bit_or(F.expr("shiftleft(1L, pmod(datediff(date, date'1970-01-01'), 63))"))
+    enough = items.groupBy("symbol").agg(seen.alias("days")).agg(F.min(F.when(F.bit_count("days") >= 5, F.col("symbol"))).alias("enough"))  # one row
+    own = N.bars(B.days(items.join(F.broadcast(enough), F.col("symbol") <= F.coalesce("enough", "symbol"), "left_semi")))
     q = W.vectors(own, 5).orderBy("symbol", F.col("end_date").desc()).limit(1)
     one = q.select(*(F.col(c).alias(f"q_{c}") for c in ("symbol", "start_date", "end_date", "price_path", "candle_geometry", "volume_liquidity")))
-    return e.crossJoin(F.broadcast(one))
+    return _enc(spark, d).crossJoin(F.broadcast(one))
 
 
 _OV = "cast(greatest(date_diff('day', greatest(a.start_date, q.start_date), least(a.end_date, q.end_date)) + 1, 0) as int)"
@@ -253,10 +254,17 @@ _BAL = "(case when price < 'inf' then 0.45 * price else 0 end + case when candle
 _SHAPE = "(case when price < 'inf' then 0.45 * price else 0 end + case when candle < 'inf' then 0.2 * candle else 0 end) / nullif(case when price < 'inf' then 0.45 else 0 end + case when candle < 'inf' then 0.2 else 0 end, 0)"
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
-    part = {"candle_geometry": "candle", "volume_liquidity": "vol"}
-    return p.select("symbol", "start_date", "end_date", _path(5).alias("price"), *(S.rmse(F.col(c), F.col(f"q_{c}")).alias(a) for c, a in part.items()))
+def _scores(spark: SparkSession, d: str, *parts: str) -> DataFrame:
+    """The parts' distances, price, candle and vol unless some are named."""
+    sides = lambda c: (F.col(c), F.col(f"q_{c}"))
+    levels = (F.slice(x, 1, 5) for x in sides("price_path"))
+    every = {"price": ("dtw", *levels), "candle": ("rmse", *sides("candle_geometry")), "vol": ("rmse", *sides("volume_liquidity"))}
+    return S.scored(_pairs(spark, d), ["symbol", "end_date"], {k: every[k] for k in parts or every})
+
+
+def _as_in_sql(df: DataFrame) -> DataFrame:
+    """Doubles rounded by ``six``."""
+    return df.select(*(six(F.col(c)).alias(c) if t == "double" else c for c, t in df.dtypes))
 
 
 def _path(size: int):
@@ -266,13 +274,13 @@ def _path(size: int):
 
 @query(f"with {_PAIR}, {_SC} select symbol, end_date, {_r('price', 'candle', 'vol')} from sc")
 def rmse_components(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_scores(spark, d).drop("start_date"))
+    return _as_in_sql(_scores(spark, d))
 
 
 @query(f"with {_PAIR}, {_SC} select symbol, end_date, round({_BAL}, 6) as distance, round(1 / (1 + {_BAL}), 6) as similarity from sc")
 def balanced_score(spark: SparkSession, d: str) -> DataFrame:
     b = S.balanced({"price_path": F.col("price"), "candle_geometry": F.col("candle"), "volume_liquidity": F.col("vol")})
-    return rounded(_scores(spark, d).select("symbol", "end_date", b.alias("distance"), S.similarity(b).alias("similarity")))
+    return _as_in_sql(_scores(spark, d).select("symbol", "end_date", b.alias("distance"), S.similarity(b).alias("similarity")))
 
 
 @query(f"with {_PAIR}, {_SC} select symbol, end_date, round({_SHAPE}, 6) as distance, round(1 / (1 + {_SHAPE}), 6) as similarity from sc")

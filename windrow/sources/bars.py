@@ -26,12 +26,24 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, date, open, high, low, close, volume, amount, turnover: a supplier's line items by day of shipping."""
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
-    items = read(spark, sf_dir, "lineitem").withColumn("unit", unit).withColumn("k", F.struct(*ORDER))
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, date and the columns of ORDER: a row a line item."""
+    return read(spark, sf_dir, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), *ORDER)
+
+
+def daily(spark: SparkSession, sf_dir: str, by_symbol: bool = False) -> DataFrame:
+    """symbol, date, open, high, low, close, volume, amount, turnover: a supplier's line items by day of shipping.
+
+    ``by_symbol`` deals line items by symbol first: one shuffle and one sort then do for the days and for windows over a symbol's days."""
+    rows = items(spark, sf_dir)
+    return days(rows.repartition("symbol") if by_symbol else rows)
+
+
+def days(rows: DataFrame) -> DataFrame:
+    """Bars of ``items``."""
+    rows = rows.withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity")).withColumn("k", F.struct(*ORDER))
     return (
-        items.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"))
+        rows.groupBy("symbol", "date")
         .agg(F.min_by("unit", "k").alias("open"), F.max(F.col("unit") * (1 + F.col("l_tax"))).alias("high"), F.min(F.col("unit") * (1 - F.col("l_discount"))).alias("low"),
              F.max_by("unit", "k").alias("close"), F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
         .withColumn("turnover", F.col("volume") * 0.1)
