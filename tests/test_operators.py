@@ -98,7 +98,7 @@ def test_scores_of_many_pairs_are_quick(spark, monkeypatch, name):
     assert time.monotonic() - start < 10
 
 
-@pytest.mark.parametrize("name", ["rmse_components"])
+@pytest.mark.parametrize("name", ["rmse_components", "shape_score"])
 def test_scores_deal_bars_once(spark, small, name):
     """One shuffle by symbol makes days and windows; nothing is evaluated element by element, as lambda functions are."""
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
@@ -106,7 +106,7 @@ def test_scores_deal_bars_once(spark, small, name):
     assert "lambda" not in plan and windows_side.count("Exchange hashpartitioning(symbol") == 1
 
 
-@pytest.mark.parametrize("name", ["rmse_components"])
+@pytest.mark.parametrize("name", ["rmse_components", "shape_score"])
 def test_query_window_where_the_first_symbol_has_none(spark, small, tmp_path, name):
     con = duckdb.connect()
     for t in oracle.TABLES:

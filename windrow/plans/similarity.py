@@ -286,7 +286,7 @@ def balanced_score(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_PAIR}, {_SC} select symbol, end_date, round({_SHAPE}, 6) as distance, round(1 / (1 + {_SHAPE}), 6) as similarity from sc")
 def shape_score(spark: SparkSession, d: str) -> DataFrame:
     b = S.balanced({"price_path": F.col("price"), "candle_geometry": F.col("candle")})
-    return rounded(_scores(spark, d).select("symbol", "end_date", b.alias("distance"), S.similarity(b).alias("similarity")))
+    return _as_in_sql(_scores(spark, d, "price", "candle").select("symbol", "end_date", b.alias("distance"), S.similarity(b).alias("similarity")))
 
 
 @query(f"""with {_PAIR}, near as (select a.*, q.price_path as qp from enc5 a, q order by list_distance(a.price_path, q.price_path), a.symbol, a.end_date limit 200),
